@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.edit import blocked_levenshtein_pairs, levenshtein_pairs
+from ..operators.jaro import jaro_winkler_pairs
 from ..operators.results import best_per_name
 from ..sources.tables import documents, entities_all
 from . import sql as S
@@ -94,3 +95,28 @@ def q_levenshtein_best(spark: SparkSession, sf: str) -> DataFrame:
 def q_levenshtein_pairs(spark: SparkSession, sf: str) -> DataFrame:
     return levenshtein_pairs(documents(spark, sf), entities_all(spark, sf)).select(
         "w", "entity_id", "name", r6())
+
+
+# ---------------------------------------------------------------- Jaro-Winkler
+_JW_PAIRS = f"""WITH
+ents AS ({S.ents_all()}),
+en AS (SELECT entity_id, name, {S.strip_punct('name')} AS nn FROM ents),
+cm AS ({S.char_map_cte('en')}),
+win AS ({S.windows(S.words(S.strip_punct('text')))}),
+w AS (SELECT DISTINCT wtext AS w FROM win),
+wb AS (SELECT w, {S.to_bytes('w')} AS wb FROM w, cm),
+eb AS (SELECT entity_id, name, {S.to_bytes('nn')} AS nb FROM en, cm),
+sc AS (SELECT w, entity_id, name, jaro_winkler_similarity(wb, nb) AS score FROM wb, eb),
+pairs AS (SELECT * FROM sc WHERE score >= 0.8::DOUBLE)
+"""
+
+
+@register("jaro_winkler_best", _JW_PAIRS + "SELECT name, round(max(score), 6) AS score FROM pairs GROUP BY name")
+def q_jaro_winkler_best(spark: SparkSession, sf: str) -> DataFrame:
+    """J1 + A1: Jaro-Winkler >= 0.8 over word trigrams, best score per name."""
+    return best_per_name(jaro_winkler_pairs(documents(spark, sf), entities_all(spark, sf))).select("name", r6())
+
+
+@register("jaro_winkler_pairs", _JW_PAIRS + "SELECT w, entity_id, name, round(score, 6) AS score FROM pairs")
+def q_jaro_winkler_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    return jaro_winkler_pairs(documents(spark, sf), entities_all(spark, sf)).select("w", "entity_id", "name", r6())
