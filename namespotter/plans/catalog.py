@@ -16,6 +16,9 @@ from pyspark.sql import functions as F
 
 from ..operators.edit import blocked_levenshtein_pairs, levenshtein_pairs
 from ..operators.jaro import jaro_winkler_pairs
+from ..operators.results import top_k
+from ..operators.vector import bigram_cosine_pairs, embedding_pairs, tfidf_matches_with_context
+from ..sources.tables import embeddings
 from ..operators.results import best_per_name
 from ..sources.tables import documents, entities_all
 from . import sql as S
@@ -120,3 +123,103 @@ def q_jaro_winkler_best(spark: SparkSession, sf: str) -> DataFrame:
 @register("jaro_winkler_pairs", _JW_PAIRS + "SELECT w, entity_id, name, round(score, 6) AS score FROM pairs")
 def q_jaro_winkler_pairs(spark: SparkSession, sf: str) -> DataFrame:
     return jaro_winkler_pairs(documents(spark, sf), entities_all(spark, sf)).select("w", "entity_id", "name", r6())
+
+
+# ---------------------------------------------------------------- bigram cosine
+_BIGRAM_PAIRS = f"""WITH
+ents AS ({S.ents_all()}),
+en AS (SELECT entity_id, name, {S.strip_punct('name')} AS nn FROM ents),
+win AS ({S.windows(S.words(S.strip_punct('text')))}),
+w AS (SELECT DISTINCT wtext AS w FROM win),
+wg AS ({S.gram_counts('w', 'w', 'w', 2)}),
+eg AS ({S.gram_counts('en', 'entity_id', 'nn', 2)}),
+wn AS (SELECT w, sum(n * n) AS s1 FROM wg GROUP BY w),
+e2 AS (SELECT entity_id, sum(n * n) AS s2 FROM eg GROUP BY entity_id),
+dots AS (SELECT wg.w, eg.entity_id, sum(wg.n * eg.n) AS dot FROM wg JOIN eg USING (gram) GROUP BY ALL),
+sc AS (SELECT d.w, d.entity_id, e.name, d.dot / (sqrt(wn.s1) * sqrt(e2.s2)) AS score
+       FROM dots d JOIN wn USING (w) JOIN e2 USING (entity_id) JOIN en e USING (entity_id)),
+pairs AS (SELECT * FROM sc WHERE score >= 0.5::DOUBLE)
+"""
+
+
+@register("bigram_cosine_best", _BIGRAM_PAIRS + "SELECT name, round(max(score), 6) AS score FROM pairs GROUP BY name")
+def q_bigram_cosine_best(spark: SparkSession, sf: str) -> DataFrame:
+    """J3 + A1: character-bigram cosine >= 0.5 over word trigrams, best per name."""
+    return best_per_name(bigram_cosine_pairs(documents(spark, sf), entities_all(spark, sf))).select("name", r6())
+
+
+@register("bigram_cosine_pairs", _BIGRAM_PAIRS + "SELECT w, entity_id, name, round(score, 6) AS score FROM pairs")
+def q_bigram_cosine_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    return bigram_cosine_pairs(documents(spark, sf), entities_all(spark, sf)).select("w", "entity_id", "name", r6())
+
+
+# ---------------------------------------------------------------- TF-IDF + context
+def _context_sql(t: str, name: str) -> str:
+    pos = f"instr(lower({t}), lower({name}))"
+    ws = S.words(f"substring({t}, greatest({pos} - 51, 0) + 1, "
+                 f"least(length({t}), {pos} - 1 + length({name}) + 50) - greatest({pos} - 51, 0))")
+    return (f"CASE WHEN {pos} > 0 THEN array_to_string(CASE WHEN len({ws}) > 10 THEN "
+            f"list_concat(list_slice({ws}, 1, 5), ['...'], list_slice({ws}, len({ws}) - 4, len({ws}))) "
+            f"ELSE {ws} END, ' ') ELSE 'Context not found' END")
+
+
+_TFIDF = f"""WITH
+ents AS ({S.ents_all()}),
+rows_ AS (SELECT 1 AS side, doc_id AS id, coalesce(text, '') AS text FROM documents
+          UNION ALL SELECT 0 AS side, entity_id AS id, coalesce(name, '') AS text FROM ents),
+toks AS (SELECT side, id, unnest(regexp_extract_all(lower(text), '{S.TERM}')) AS term FROM rows_),
+tf AS (SELECT side, id, term, count(*) AS tf FROM toks GROUP BY ALL),
+nn AS (SELECT count(*) AS n FROM rows_),
+df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+wt AS (SELECT side, id, term, tf * (ln((1 + nn.n) / (1 + df.df)) + 1) AS wt FROM tf JOIN df USING (term), nn),
+nm AS (SELECT side, id, sqrt(sum(wt * wt)) AS norm FROM wt GROUP BY ALL),
+u AS (SELECT side, id, term, wt / norm AS u FROM wt JOIN nm USING (side, id)),
+dots AS (SELECT d.id AS doc_id, e.id AS entity_id, sum(d.u * e.u) AS score
+         FROM u d JOIN u e ON d.term = e.term AND d.side = 1 AND e.side = 0 GROUP BY ALL),
+pairs AS (SELECT p.doc_id, p.entity_id, ents.name, p.score, {_context_sql('coalesce(documents.text, \'\')', 'ents.name')} AS context
+          FROM dots p JOIN ents USING (entity_id) JOIN documents USING (doc_id) WHERE p.score >= 0.1::DOUBLE)
+"""
+
+
+@register("tfidf_context", _TFIDF + "SELECT doc_id, entity_id, name, round(score, 6) AS score, context FROM pairs")
+def q_tfidf_context(spark: SparkSession, sf: str) -> DataFrame:
+    """J8 + R6: TF-IDF cosine >= 0.1 of whole documents and names, every
+    matching pair with its literal context."""
+    m = tfidf_matches_with_context(documents(spark, sf), entities_all(spark, sf))
+    return m.select("doc_id", "entity_id", "name", r6(), "context")
+
+
+@register("tfidf_top20", _TFIDF + "SELECT doc_id, entity_id, name, round(score, 6) AS score, context FROM pairs "
+          "ORDER BY score DESC, doc_id, entity_id LIMIT 20")
+def q_tfidf_top20(spark: SparkSession, sf: str) -> DataFrame:
+    """J8 + R6 + K3: the top-20 report (a limit that is the feature)."""
+    m = tfidf_matches_with_context(documents(spark, sf), entities_all(spark, sf)).select(
+        "doc_id", "entity_id", "name", r6(), "context")
+    return top_k(m, 20, "score", "doc_id", "entity_id")
+
+
+# ---------------------------------------------------------------- embeddings
+def _emb_sql(op: str, t: float) -> str:
+    cos = "list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[])"
+    return (f"SELECT a.vec_id AS query_id, b.vec_id AS entity_id, round({cos}, 6) AS score "
+            f"FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id WHERE {cos} {op} {t}::DOUBLE")
+
+
+def _emb(spark: SparkSession, sf: str, t: float) -> DataFrame:
+    e = embeddings(spark, sf)
+    return embedding_pairs(e.select(F.col("vec_id").alias("query_id"), "embedding"),
+                           e.select(F.col("vec_id").alias("entity_id"), "embedding"),
+                           threshold=t, strict=True, distinct_ids=True).select("query_id", "entity_id", r6())
+
+
+@register("embedding_pairs", _emb_sql(">", 0.7))
+def q_embedding_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    """Every unordered pair of embedding rows with cosine > 0.7 (the
+    default, strict)."""
+    return _emb(spark, sf, 0.7)
+
+
+@register("embedding_pairs_03", _emb_sql(">", 0.3))
+def q_embedding_pairs_03(spark: SparkSession, sf: str) -> DataFrame:
+    """J9 at threshold 0.3, where the fixture has matches to compare."""
+    return _emb(spark, sf, 0.3)
