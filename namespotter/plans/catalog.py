@@ -16,7 +16,9 @@ from pyspark.sql import functions as F
 
 from ..operators.edit import blocked_levenshtein_pairs, levenshtein_pairs
 from ..operators.jaro import jaro_winkler_pairs
-from ..operators.results import top_k
+from ..operators.results import score_stats, top_k
+from ..operators.spans import best_span_matches, fuzzy_context
+from ..operators.vector import tfidf_pairs
 from ..operators.vector import bigram_cosine_pairs, embedding_pairs, tfidf_matches_with_context
 from ..sources.tables import embeddings
 from ..operators.results import best_per_name
@@ -223,3 +225,44 @@ def q_embedding_pairs(spark: SparkSession, sf: str) -> DataFrame:
 def q_embedding_pairs_03(spark: SparkSession, sf: str) -> DataFrame:
     """J9 at threshold 0.3, where the fixture has matches to compare."""
     return _emb(spark, sf, 0.3)
+
+
+# ---------------------------------------------------------------- spans and ratios
+@register("best_span_matches")
+def q_best_span_matches(spark: SparkSession, sf: str) -> DataFrame:
+    """J10 + R1 + R5: best 1-10-word span per (document, name) by partial
+    ratio >= 80, with matched text and +-10 words of context.  No SQL
+    oracle (the ratio is difflib's); tests compare with brute force."""
+    return best_span_matches(documents(spark, sf), entities_all(spark, sf))
+
+
+@register("best_span_top50")
+def q_best_span_top50(spark: SparkSession, sf: str) -> DataFrame:
+    """K4: the top-50 report of J10 (score desc, then doc, name, start)."""
+    m = best_span_matches(documents(spark, sf), entities_all(spark, sf))
+    return top_k(m, 50, "score", "doc_id", "entity_id", "start")
+
+
+@register("best_span_stats")
+def q_best_span_stats(spark: SparkSession, sf: str) -> DataFrame:
+    """A4 + A5 over J10: min / max / mean score, matches, distinct names."""
+    return score_stats(best_span_matches(documents(spark, sf), entities_all(spark, sf)))
+
+
+@register("tfidf_fuzzy_context")
+def q_tfidf_fuzzy_context(spark: SparkSession, sf: str) -> DataFrame:
+    """J8 + R7: TF-IDF matches with the best same-length word window by
+    ratio (null context below 70)."""
+    docs = documents(spark, sf)
+    return fuzzy_context(tfidf_pairs(docs, entities_all(spark, sf)), docs).select(
+        "doc_id", "entity_id", "name", r6(), "context", "context_ratio")
+
+
+@register("tfidf_fuzzy_report")
+def q_tfidf_fuzzy_report(spark: SparkSession, sf: str) -> DataFrame:
+    """F8 + T16: top 20 by score, then only rows whose context ratio is
+    above 75 (the filter applies after the cut, so fewer than 20 may show)."""
+    docs = documents(spark, sf)
+    m = fuzzy_context(tfidf_pairs(docs, entities_all(spark, sf)), docs).select(
+        "doc_id", "entity_id", "name", r6(), "context", "context_ratio")
+    return top_k(m, 20, "score", "doc_id", "entity_id").where(F.col("context_ratio") > 75)
