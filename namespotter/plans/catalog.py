@@ -16,7 +16,11 @@ from pyspark.sql import functions as F
 
 from ..operators.edit import blocked_levenshtein_pairs, levenshtein_pairs
 from ..operators.jaro import jaro_winkler_pairs
+from ..operators.common import trigram_windows, with_words
 from ..operators.results import score_stats, top_k
+from ..operators.tokens import candidate_words, token_set_matches
+from ..functions.text import alnum_lower, split_ws
+from ..functions.windows import char_ngrams, word_chunks
 from ..operators.spans import best_span_matches, fuzzy_context
 from ..operators.vector import tfidf_pairs
 from ..operators.vector import bigram_cosine_pairs, embedding_pairs, tfidf_matches_with_context
@@ -266,3 +270,70 @@ def q_tfidf_fuzzy_report(spark: SparkSession, sf: str) -> DataFrame:
     m = fuzzy_context(tfidf_pairs(docs, entities_all(spark, sf)), docs).select(
         "doc_id", "entity_id", "name", r6(), "context", "context_ratio")
     return top_k(m, 20, "score", "doc_id", "entity_id").where(F.col("context_ratio") > 75)
+
+
+@register("token_set_matches")
+def q_token_set_matches(spark: SparkSession, sf: str) -> DataFrame:
+    """J4 + K2: corpus words of 5+ characters against every name by
+    token-set ratio >= 70, with occurrence counts.  No SQL oracle (difflib);
+    tests compare with brute force."""
+    m = token_set_matches(documents(spark, sf), entities_all(spark, sf))
+    return m.orderBy(F.desc("score"), F.desc("occurrences"), "name", "word")
+
+
+# ---------------------------------------------------------------- windows, words, audit
+@register("trigram_windows",
+          f"SELECT doc_id, pos, wtext AS \"window\" FROM ({S.windows(S.words(S.strip_punct('text')))})")
+def q_trigram_windows(spark: SparkSession, sf: str) -> DataFrame:
+    """N1 + N6 + W1: every word trigram window of every document."""
+    return trigram_windows(documents(spark, sf), order="norm_then_split")
+
+
+@register("raw_trigram_windows",
+          f"SELECT doc_id, pos, wtext AS \"window\", {S.alnum_lower('wtext')} AS norm "
+          f"FROM ({S.windows(S.words('text'))})")
+def q_raw_trigram_windows(spark: SparkSession, sf: str) -> DataFrame:
+    """N6 + W1 + N2: raw whitespace windows and their alphanumeric form."""
+    w = trigram_windows(documents(spark, sf), order="split_then_norm")
+    return w.select("doc_id", "pos", "window", alnum_lower("window").alias("norm"))
+
+
+@register("word_chunks",
+          f"SELECT doc_id, i // 256 AS chunk_no, array_to_string(list_slice(ws, i + 1, i + 256), ' ') AS chunk "
+          f"FROM (SELECT doc_id, {S.words('text')} AS ws FROM documents) d, unnest(range(0, len(ws), 256)) t(i)")
+def q_word_chunks(spark: SparkSession, sf: str) -> DataFrame:
+    """256-word chunks, stride 256, last one partial."""
+    w = with_words(documents(spark, sf), order="split_then_norm")
+    return w.select("doc_id", F.posexplode(word_chunks("words", 256)).alias("chunk_no", "chunk")).select(
+        "doc_id", F.col("chunk_no").cast("long").alias("chunk_no"), "chunk")
+
+
+@register("candidate_words",
+          f"SELECT word, count(*) AS occurrences FROM (SELECT unnest(regexp_extract_all(lower(text), "
+          f"'{S.WORD_RUN}')) AS word FROM documents) WHERE length(word) >= 5 GROUP BY word")
+def q_candidate_words(spark: SparkSession, sf: str) -> DataFrame:
+    """N3 + W9 + A6: corpus words of 5+ characters with counts."""
+    return candidate_words(documents(spark, sf))
+
+
+@register("corpus_audit",
+          f"SELECT count(*) AS n_docs, count(*) FILTER (WHERE text IS NULL) AS null_text, "
+          f"coalesce(sum(len({S.words('text')})), 0)::BIGINT AS n_words, "
+          f"count(*) FILTER (WHERE text IS NOT NULL AND len({S.words('text')}) = 0) AS empty_docs FROM documents")
+def q_corpus_audit(spark: SparkSession, sf: str) -> DataFrame:
+    """Row count, null texts, whitespace words, empty documents, in one pass."""
+    d = documents(spark, sf).select("text", F.size(split_ws("text")).alias("nw"))
+    return d.agg(F.count(F.lit(1)).alias("n_docs"),
+                 F.count_if(F.col("text").isNull()).alias("null_text"),
+                 F.coalesce(F.sum(F.when(F.col("text").isNotNull(), F.col("nw"))), F.lit(0)).cast("long").alias("n_words"),
+                 F.count_if(F.col("text").isNotNull() & (F.col("nw") == 0)).alias("empty_docs"))
+
+
+@register("trigram_index",
+          f"SELECT DISTINCT substring(nn, i, 3) AS gram, entity_id FROM "
+          f"(SELECT entity_id, {S.alnum_lower('name')} AS nn FROM ({S.ents_all()})) e, "
+          f"unnest(range(1, length(nn) - 1)) t(i)")
+def q_trigram_index(spark: SparkSession, sf: str) -> DataFrame:
+    """A9 + W8 + N2: the inverted index of dictionary trigrams as rows."""
+    e = entities_all(spark, sf)
+    return e.select(F.explode(char_ngrams(alnum_lower("name"), 3)).alias("gram"), "entity_id").distinct()
