@@ -19,6 +19,9 @@ from ..operators.jaro import jaro_winkler_pairs
 from ..operators.common import trigram_windows, with_words
 from ..operators.results import score_stats, top_k
 from ..operators.tokens import candidate_words, token_set_matches
+from ..operators.prompts import (DOC_BUDGET, PACK_BUDGET, PROMPT_TEMPLATE, TUPLE_RE, pack_dictionary,
+                                 pack_documents, parse_responses, prompt_requests)
+from ..sources.tables import table
 from ..functions.text import alnum_lower, split_ws
 from ..functions.windows import char_ngrams, word_chunks
 from ..operators.spans import best_span_matches, fuzzy_context
@@ -337,3 +340,69 @@ def q_trigram_index(spark: SparkSession, sf: str) -> DataFrame:
     """A9 + W8 + N2: the inverted index of dictionary trigrams as rows."""
     e = entities_all(spark, sf)
     return e.select(F.explode(char_ngrams(alnum_lower("name"), 3)).alias("gram"), "entity_id").distinct()
+
+
+# ---------------------------------------------------------------- packing, prompts, responses
+def _pack_sql(rows: str, key: str, budget: int, r: str) -> str:
+    """Greedy packing with reset as a recursive CTE ``r`` over ``rows(key, pos, cost)``."""
+    return f"""{r} AS (SELECT {key}, pos, cost, 0::BIGINT AS chunk_no, cost AS run FROM {rows} WHERE pos = 0
+      UNION ALL
+      SELECT x.{key}, x.pos, x.cost,
+             CASE WHEN {r}.run + x.cost > {budget} THEN {r}.chunk_no + 1 ELSE {r}.chunk_no END,
+             CASE WHEN {r}.run + x.cost > {budget} THEN x.cost ELSE {r}.run + x.cost END
+      FROM {r} JOIN {rows} x ON x.{key} = {r}.{key} AND x.pos = {r}.pos + 1)"""
+
+
+_W3_ROWS = (f"SELECT doc_id, i AS pos, ws[i + 1] AS word, greatest(1, ceil(length(ws[i + 1]) / 4.0))::BIGINT AS cost "
+            f"FROM (SELECT doc_id, {S.words('text')} AS ws FROM documents) d, unnest(range(0, len(ws))) t(i)")
+_W3 = (f"WITH RECURSIVE w AS ({_W3_ROWS}), {_pack_sql('w', 'doc_id', DOC_BUDGET, 'rw')}, "
+       f"chunks AS (SELECT doc_id, chunk_no, count(*)::BIGINT AS n_words, sum(cost)::BIGINT AS cost, "
+       f"string_agg(word, ' ' ORDER BY pos) AS chunk FROM (SELECT rw.doc_id, rw.pos, rw.chunk_no, w.word, w.cost "
+       f"FROM rw JOIN w USING (doc_id, pos)) GROUP BY doc_id, chunk_no)")
+_W4_ROWS = (f"SELECT 0 AS k, (row_number() OVER (ORDER BY entity_id) - 1) AS pos, entity_id, name, "
+            f"greatest(1, ceil(length(coalesce(name, '')) / 4.0))::BIGINT AS cost FROM ({S.ents_all()})")
+_W4 = (f"WITH RECURSIVE e AS ({_W4_ROWS}), {_pack_sql('e', 'k', PACK_BUDGET, 're')}, "
+       f"packs AS (SELECT e.entity_id, e.name, re.chunk_no AS pack_no FROM re JOIN e USING (k, pos))")
+
+
+@register("budget_chunks", _W3 + " SELECT * FROM chunks")
+def q_budget_chunks(spark: SparkSession, sf: str) -> DataFrame:
+    """W3 + R3: greedy 4000-cost chunks of every document (cost per word =
+    ceil(characters / 4))."""
+    return pack_documents(documents(spark, sf))
+
+
+@register("dictionary_packs", _W4 + " SELECT entity_id, name, pack_no FROM packs")
+def q_dictionary_packs(spark: SparkSession, sf: str) -> DataFrame:
+    """Greedy 1000-cost packs of the dictionary in entity order."""
+    return pack_dictionary(entities_all(spark, sf))
+
+
+_TEMPLATE_SQL = PROMPT_TEMPLATE.replace("'", "''")
+
+
+@register("prompt_requests",
+          _W3 + ", " + _W4.replace("WITH RECURSIVE ", "") +
+          f", pk AS (SELECT pack_no, string_agg(name, ', ' ORDER BY entity_id, name) AS companies FROM packs GROUP BY pack_no) "
+          f"SELECT c.doc_id, c.chunk_no, pk.pack_no, printf('{_TEMPLATE_SQL}', pk.companies, c.chunk) AS prompt "
+          f"FROM chunks c, pk")
+def q_prompt_requests(spark: SparkSession, sf: str) -> DataFrame:
+    """P1 + J11: one prompt per (document chunk, dictionary pack)."""
+    return prompt_requests(pack_documents(documents(spark, sf)), pack_dictionary(entities_all(spark, sf)))
+
+
+_TUPLE_SQL = TUPLE_RE.replace("'", "''")
+_P2 = (f"SELECT conv_id, turn, item, name, confidence FROM (SELECT conv_id, turn, "
+       f"unnest(range(0, len(regexp_extract_all(text, '{_TUPLE_SQL}', 3)))) AS item, "
+       f"regexp_extract_all(text, '{_TUPLE_SQL}', 1) AS dq, regexp_extract_all(text, '{_TUPLE_SQL}', 2) AS sq, "
+       f"regexp_extract_all(text, '{_TUPLE_SQL}', 3) AS num FROM conversations WHERE role = 'assistant') x, "
+       f"LATERAL (SELECT CASE WHEN dq[item + 1] <> '' THEN dq[item + 1] ELSE sq[item + 1] END AS name, "
+       f"num[item + 1]::DOUBLE AS confidence)")
+
+
+@register("parsed_responses", _P2)
+def q_parsed_responses(spark: SparkSession, sf: str) -> DataFrame:
+    """(name, confidence) tuples parsed from every assistant turn."""
+    conv = table(spark, sf, "conversations").where(F.col("role") == "assistant")
+    return parse_responses(conv, "text", ("conv_id", "turn")).select(
+        "conv_id", "turn", F.col("item").cast("long").alias("item"), "name", "confidence")
