@@ -22,6 +22,8 @@ from ..operators.tokens import candidate_words, token_set_matches
 from ..operators.prompts import (DOC_BUDGET, PACK_BUDGET, PROMPT_TEMPLATE, TUPLE_RE, pack_dictionary,
                                  pack_documents, parse_responses, prompt_requests)
 from ..sources.tables import table
+from ..operators.resolve import resolution_report, resolve_names, staged_resolution
+from ..operators.results import minmax_normalise
 from ..functions.text import alnum_lower, split_ws
 from ..functions.windows import char_ngrams, word_chunks
 from ..operators.spans import best_span_matches, fuzzy_context
@@ -406,3 +408,40 @@ def q_parsed_responses(spark: SparkSession, sf: str) -> DataFrame:
     conv = table(spark, sf, "conversations").where(F.col("role") == "assistant")
     return parse_responses(conv, "text", ("conv_id", "turn")).select(
         "conv_id", "turn", F.col("item").cast("long").alias("item"), "name", "confidence")
+
+
+# ---------------------------------------------------------------- name resolution
+@register("name_resolution")
+def q_name_resolution(spark: SparkSession, sf: str) -> DataFrame:
+    """The best dictionary entry for every document (top-50 n-gram
+    TF-IDF candidates scored by bag, typo and refined-soundex similarity)."""
+    return resolve_names(documents(spark, sf), entities_all(spark, sf)).select("doc_id", "entity_id", r6())
+
+
+@register("resolution_report")
+def q_resolution_report(spark: SparkSession, sf: str) -> DataFrame:
+    """J12 + J13 + F10 + A3 + A2 + K3: per name the best raw and normalised
+    score and its document text, top 20 by score."""
+    docs, ents = documents(spark, sf), entities_all(spark, sf)
+    rep = resolution_report(docs, ents, resolve_names(docs, ents))
+    return top_k(rep.select("name", r6(), r6("normalized_score"), "text"), 20, "score", "name")
+
+
+@register("staged_resolution")
+def q_staged_resolution(spark: SparkSession, sf: str) -> DataFrame:
+    """Blocked candidates, refinement keeping 5 per window, Levenshtein >= 0.8."""
+    return staged_resolution(documents(spark, sf), entities_all(spark, sf)).select("w", "entity_id", "name", r6())
+
+
+_JW_NORM = _JW_PAIRS + """, best AS (SELECT name, max(score) AS score FROM pairs GROUP BY name),
+mm AS (SELECT min(score) AS mn, max(score) AS mx FROM best)
+SELECT name, round(score, 6) AS score,
+       round(CASE WHEN mx = mn THEN NULL ELSE (score - mn) / (mx - mn) END, 6) AS normalized_score FROM best, mm"""
+
+
+@register("jaro_winkler_normalised", _JW_NORM)
+def q_jaro_winkler_normalised(spark: SparkSession, sf: str) -> DataFrame:
+    """A1 + A3: best Jaro-Winkler score per name, min-max normalised over
+    all names (a single distinct score gives null, T10)."""
+    best = best_per_name(jaro_winkler_pairs(documents(spark, sf), entities_all(spark, sf)))
+    return minmax_normalise(best).select("name", r6(), r6("normalized_score"))

@@ -1,0 +1,45 @@
+"""The batch operators over a growing corpus.
+
+The reference has no streams; here a streaming source of documents (new
+files landing in a folder) is matched micro-batch by micro-batch with any
+operator of this library.  The operators are stateless per document, so
+``foreachBatch`` applies them unchanged and appends the matches to a parquet
+table; best-per-name and other summaries then run on that table.  Progress
+and exactly-once bookkeeping live in the checkpoint folder under the
+cluster's ``spark.checkpoint.dir``.
+"""
+
+from __future__ import annotations
+
+import os
+from typing import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.streaming import StreamingQuery
+
+from ..session import ensure_checkpoint_dir
+
+DOC_SCHEMA = "doc_id long, text string"
+
+
+def read_document_stream(spark: SparkSession, folder: str, schema: str = DOC_SCHEMA,
+                         max_files_per_trigger: int | None = None) -> DataFrame:
+    reader = spark.readStream.schema(schema)
+    if max_files_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
+    return reader.parquet(folder)
+
+
+def match_stream(docs: DataFrame, entities: DataFrame,
+                 matcher: Callable[[DataFrame, DataFrame], DataFrame], sink: str, name: str,
+                 available_now: bool = True) -> StreamingQuery:
+    """Run ``matcher(batch_docs, entities)`` on every micro-batch and append
+    the result to the parquet table ``sink``."""
+    ckpt = os.path.join(ensure_checkpoint_dir(docs.sparkSession), "streams", name)
+
+    def each(batch: DataFrame, epoch_id: int) -> None:
+        matcher(batch, entities).write.mode("append").parquet(sink)
+
+    w = docs.writeStream.foreachBatch(each).option("checkpointLocation", ckpt).queryName(name)
+    w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="30 seconds")
+    return w.start()

@@ -1,0 +1,55 @@
+"""Streaming adapter, name resolution and report steps on small fixtures."""
+import math
+
+from pyspark.sql import functions as F
+
+from namespotter.operators.edit import blocked_levenshtein_pairs
+from namespotter.operators.resolve import (char_counts, process_name, refined_soundex, resolution_report,
+                                           resolve_names, staged_resolution)
+from namespotter.operators.results import minmax_normalise, top_k
+from namespotter.streaming.corpus import match_stream, read_document_stream
+
+
+def test_stream_equals_batch(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "we met acme corp today"), (2, "acne corp and zeta one inc")],
+                                 "doc_id long, text string")
+    ents = spark.createDataFrame([(0, "Acme Corp"), (1, "Zeta One")], "entity_id long, name string")
+    src = str(tmp_path / "in")
+    docs.write.parquet(src)
+    q = match_stream(read_document_stream(spark, src), ents,
+                     lambda b, e: blocked_levenshtein_pairs(b, e), str(tmp_path / "out"), "t_stream")
+    q.awaitTermination(120)
+    got = {(r.w, r.entity_id) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    want = {(r.w, r.entity_id) for r in blocked_levenshtein_pairs(docs, ents).collect()}
+    assert got == want and got
+
+
+def test_name_processing(spark):
+    df = spark.createDataFrame([("Acme, Inc.",), ("Robert Co",), ("Rupert",), ("",)], "n string")
+    r = df.select(process_name(F.col("n")).alias("p"), refined_soundex(F.col("n")).alias("s"),
+                  char_counts(F.lower(F.col("n"))).alias("c")).collect()
+    assert [x.p for x in r] == ["acme", "robert", "rupert", ""]
+    assert r[1].s[0] == "R" and r[3].s == ""
+    assert sum(r[2].c) == 6
+
+
+def test_minmax_and_topk(spark):
+    df = spark.createDataFrame([("a", 1.0), ("b", 3.0), ("c", 2.0)], "name string, score double")
+    got = {r.name: r.normalized_score for r in minmax_normalise(df).collect()}
+    assert got == {"a": 0.0, "b": 1.0, "c": 0.5}
+    one = spark.createDataFrame([("a", 1.0), ("b", 1.0)], "name string, score double")
+    assert all(r.normalized_score is None for r in minmax_normalise(one).collect())      # T10
+    assert [r.name for r in top_k(df, 2, "score", "name").collect()] == ["b", "c"]
+
+
+def test_resolution_pipeline(spark):
+    docs = spark.createDataFrame([(1, "Acme Corporation reported earnings"), (2, "Zeta One Inc. hires"),
+                                  (3, None)], "doc_id long, text string")
+    ents = spark.createDataFrame([(0, "Acme Corp"), (1, "Zeta One Inc"), (2, "Unrelated Ltd")],
+                                 "entity_id long, name string")
+    m = {r.doc_id: r.entity_id for r in resolve_names(docs, ents).collect()}
+    assert m[1] == 0 and m[2] == 1
+    rep = {r.name: r for r in resolution_report(docs, ents, resolve_names(docs, ents)).collect()}
+    assert set(rep) <= {"Acme Corp", "Zeta One Inc", "Unrelated Ltd"} and "Acme Corp" in rep
+    st = staged_resolution(spark.createDataFrame([(1, "acme corp x")], "doc_id long, text string"), ents).collect()
+    assert {r.entity_id for r in st} == {0}
