@@ -22,6 +22,17 @@ def bounded_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> Data
     return F.broadcast(df) if n <= max_rows else df
 
 
+def spread_work(df: DataFrame) -> DataFrame:
+    """Round-robin the rows over the cluster's shuffle-partition count before
+    CPU-heavy per-row work.  Adaptive execution sizes partitions by bytes,
+    so a few bytes of candidate pairs that each cost a kernel call would
+    otherwise be coalesced into a single task; an explicit partition count
+    is kept as asked."""
+    spark = df.sparkSession
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return df.repartition(n)
+
+
 def doc_words(docs: DataFrame, text_col: str = "text", order: str = "norm_then_split") -> Column:
     """Words of a document in one of the two orders the matchers use (T3):
     ``norm_then_split`` strips punctuation first (a lone ``&`` vanishes);

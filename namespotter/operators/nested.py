@@ -41,7 +41,9 @@ def against_dictionary(queries: DataFrame, dictionary: DataFrame,
     """Apply ``kernel(query_batch, prepared_block)`` to every Arrow batch of
     ``queries`` for every dictionary block; ``prepare`` runs once per block
     and task (e.g. to encode the names as arrays)."""
+    from .common import spread_work
     sc = queries.sparkSession.sparkContext
+    queries = spread_work(queries)
     parts = []
     for block in dictionary_blocks(dictionary, block_rows, key):
         bc = sc.broadcast(block)

@@ -4,14 +4,15 @@ import math
 from pyspark.sql import functions as F
 
 from namespotter.operators.edit import blocked_levenshtein_pairs
-from namespotter.operators.resolve import (char_counts, process_name, refined_soundex, resolution_report,
-                                           resolve_names, staged_resolution)
+from namespotter.operators.resolve import (BAG_ALPHABET, LEGAL_SUFFIXES, SOUNDEX_FROM, SOUNDEX_TO, char_counts,
+                                           process_name, refined_soundex, resolution_report, resolve_names,
+                                           staged_resolution)
 from namespotter.operators.results import minmax_normalise, top_k
 from namespotter.streaming.corpus import match_stream, read_document_stream
 
 
 def test_stream_equals_batch(spark, tmp_path):
-    docs = spark.createDataFrame([(1, "we met acme corp today"), (2, "acne corp and zeta one inc")],
+    docs = spark.createDataFrame([(1, "x acme corp"), (2, "acne corp and zeta one x")],
                                  "doc_id long, text string")
     ents = spark.createDataFrame([(0, "Acme Corp"), (1, "Zeta One")], "entity_id long, name string")
     src = str(tmp_path / "in")
@@ -42,14 +43,42 @@ def test_minmax_and_topk(spark):
     assert [r.name for r in top_k(df, 2, "score", "name").collect()] == ["b", "c"]
 
 
+def _py_score(text, name):
+    import re
+    from tests.test_joins import lev
+    clean = lambda t: re.sub(r"\s+", " ", re.sub(r"[^\x20-\x7E]", " ", t)).strip()
+    pt = clean(text).lower()
+    pn = re.sub(r"[^a-z0-9 ]", " ", clean(name).lower())
+    pn = re.sub(r"\b(" + "|".join(LEGAL_SUFFIXES) + r")\b\.?", " ", pn)
+    pn = re.sub(r"\s+", " ", pn).strip()
+    la, lb = len(pt), len(pn)
+    inter = sum(min(pt.count(c), pn.count(c)) for c in BAG_ALPHABET)
+    bag = 1 - max(la - inter, lb - inter) / max(la, lb)
+    typo = 1 - lev(pt, pn) / max(la, lb)
+
+    def sdx(t):
+        letters = re.sub(r"[^a-z]", "", t.lower())
+        if not letters:
+            return ""
+        digits = re.sub(r"(\d)\1+", r"\1", letters.translate(str.maketrans(SOUNDEX_FROM, SOUNDEX_TO)))
+        return letters[0].upper() + digits
+    a, b = sdx(pt), sdx(pn)
+    s = 1.0 if max(len(a), len(b)) == 0 else 1 - lev(a, b) / max(len(a), len(b))
+    return 100 * (bag + typo + s) / 3
+
+
 def test_resolution_pipeline(spark):
-    docs = spark.createDataFrame([(1, "Acme Corporation reported earnings"), (2, "Zeta One Inc. hires"),
-                                  (3, None)], "doc_id long, text string")
-    ents = spark.createDataFrame([(0, "Acme Corp"), (1, "Zeta One Inc"), (2, "Unrelated Ltd")],
-                                 "entity_id long, name string")
-    m = {r.doc_id: r.entity_id for r in resolve_names(docs, ents).collect()}
-    assert m[1] == 0 and m[2] == 1
-    rep = {r.name: r for r in resolution_report(docs, ents, resolve_names(docs, ents)).collect()}
-    assert set(rep) <= {"Acme Corp", "Zeta One Inc", "Unrelated Ltd"} and "Acme Corp" in rep
+    texts = {1: "Acme Corporation reported earnings", 2: "Zeta One Inc. hires"}
+    names = {0: "Acme Corp", 1: "Zeta One Inc", 2: "Unrelated Ltd"}
+    docs = spark.createDataFrame([(k, v) for k, v in texts.items()] + [(3, None)], "doc_id long, text string")
+    ents = spark.createDataFrame(list(names.items()), "entity_id long, name string")
+    got = {r.doc_id: (r.entity_id, r.score) for r in resolve_names(docs, ents).collect()}
+    for d, t in texts.items():
+        scores = {k: _py_score(t, n) for k, n in names.items()}
+        best = max(scores.values())
+        assert abs(got[d][1] - best) < 1e-9
+        assert got[d][0] == min(k for k, v in scores.items() if abs(v - best) < 1e-12)
+    rep = resolution_report(docs, ents, resolve_names(docs, ents)).collect()
+    assert {r.name for r in rep} <= set(names.values()) and len(rep) >= 1
     st = staged_resolution(spark.createDataFrame([(1, "acme corp x")], "doc_id long, text string"), ents).collect()
     assert {r.entity_id for r in st} == {0}
