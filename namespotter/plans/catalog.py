@@ -26,7 +26,7 @@ from ..operators.resolve import resolution_report, resolve_names, staged_resolut
 from ..operators.results import minmax_normalise
 from ..functions.text import alnum_lower, split_ws
 from ..functions.windows import char_ngrams, word_chunks
-from ..operators.spans import best_span_matches, fuzzy_context
+from ..operators.spans import best_span_matches, first_containing_spans, fuzzy_context
 from ..operators.vector import tfidf_pairs
 from ..operators.vector import bigram_cosine_pairs, embedding_pairs, tfidf_matches_with_context
 from ..sources.tables import embeddings
@@ -445,3 +445,21 @@ def q_jaro_winkler_normalised(spark: SparkSession, sf: str) -> DataFrame:
     all names (a single distinct score gives null, T10)."""
     best = best_per_name(jaro_winkler_pairs(documents(spark, sf), entities_all(spark, sf)))
     return minmax_normalise(best).select("name", r6(), r6("normalized_score"))
+
+
+_CONTAIN = f"""WITH ents AS ({S.ents_all()}),
+d AS (SELECT doc_id, {S.words('text')} AS ws FROM documents),
+sp AS (SELECT doc_id, i, k, lower(array_to_string(list_slice(ws, i + 1, i + k), ' ')) AS phrase
+       FROM d, unnest(range(0, len(ws))) t(i), unnest(range(1, 11)) u(k) WHERE i + k <= len(ws)),
+hit AS (SELECT sp.doc_id, e.entity_id, min(sp.i * 100 + sp.k) AS code
+        FROM sp, ents e WHERE lower(e.name) <> ''
+          AND (contains(sp.phrase, lower(e.name)) OR contains(lower(e.name), sp.phrase))
+        GROUP BY ALL)
+SELECT doc_id, entity_id, (code // 100)::INTEGER AS start, (code % 100)::INTEGER AS n_words FROM hit"""
+
+
+@register("first_containing_spans", _CONTAIN)
+def q_first_containing_spans(spark: SparkSession, sf: str) -> DataFrame:
+    """J10 phase A: per (document, name) the first 1-10-word span that
+    contains the lowered name or lies inside it (where partial ratio is 100)."""
+    return first_containing_spans(documents(spark, sf), entities_all(spark, sf))
