@@ -291,7 +291,8 @@ def q_token_set_matches(spark: SparkSession, sf: str) -> DataFrame:
           f"SELECT doc_id, pos, wtext AS \"window\" FROM ({S.windows(S.words(S.strip_punct('text')))})")
 def q_trigram_windows(spark: SparkSession, sf: str) -> DataFrame:
     """N1 + N6 + W1: every word trigram window of every document."""
-    return trigram_windows(documents(spark, sf), order="norm_then_split")
+    w = trigram_windows(documents(spark, sf), order="norm_then_split")
+    return w.select("doc_id", F.col("pos").cast("long").alias("pos"), "window")
 
 
 @register("raw_trigram_windows",
@@ -300,7 +301,7 @@ def q_trigram_windows(spark: SparkSession, sf: str) -> DataFrame:
 def q_raw_trigram_windows(spark: SparkSession, sf: str) -> DataFrame:
     """N6 + W1 + N2: raw whitespace windows and their alphanumeric form."""
     w = trigram_windows(documents(spark, sf), order="split_then_norm")
-    return w.select("doc_id", "pos", "window", alnum_lower("window").alias("norm"))
+    return w.select("doc_id", F.col("pos").cast("long").alias("pos"), "window", alnum_lower("window").alias("norm"))
 
 
 @register("word_chunks",
