@@ -67,7 +67,7 @@ def _py_score(text, name):
     return 100 * (bag + typo + s) / 3
 
 
-def test_resolution_pipeline(spark):
+def test_resolution_steps(spark):
     texts = {1: "Acme Corporation reported earnings", 2: "Zeta One Inc. hires"}
     names = {0: "Acme Corp", 1: "Zeta One Inc", 2: "Unrelated Ltd"}
     docs = spark.createDataFrame([(k, v) for k, v in texts.items()] + [(3, None)], "doc_id long, text string")
