@@ -3,8 +3,8 @@ checkpoint folder read from the cluster's configuration."""
 
 from __future__ import annotations
 
-import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -36,28 +36,33 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
+    """The shared folder named by ``spark.checkpoint.dir``.
 
     On a cluster the setting names a folder every executor can reach and we
-    only read it.  Where it is unset (local tests) we create one of our own.
+    only read it.  Only a local master may go without: it gets a temporary
+    folder of its own.
     """
     sc = spark.sparkContext
-    current = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    current = sc.getCheckpointDir()
     if current:
-        if not sc.getCheckpointDir():
-            sc.setCheckpointDir(current)
-        return sc.getCheckpointDir()
-    local = tempfile.mkdtemp(prefix="namespotter-ckpt-")
-    sc.setCheckpointDir(local)
+        return current
+    named = sc.getConf().get("spark.checkpoint.dir", None)
+    if not named:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        named = tempfile.mkdtemp(prefix="namespotter-ckpt-")
+    sc.setCheckpointDir(named)
     return sc.getCheckpointDir()
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint into the shared folder (never ``localCheckpoint``):
-    the data survives the loss of the executors that computed it."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def written(df: DataFrame, label: str) -> DataFrame:
+    """Cut the lineage: write ``df`` as Parquet under the shared folder and
+    read it back.  The rows survive the loss of the executors that made them."""
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def sf_path(sf_dir: str, table: str) -> str:
-    return os.path.join(sf_dir, f"{table}.parquet")
+    return f"{sf_dir.rstrip('/')}/{table}.parquet"
