@@ -2,7 +2,15 @@
 
 from __future__ import annotations
 
-from . import decontaminate
+from . import decontaminate, licenses, neighbours, packing, secrets, sharding, simhash
 
-QUERIES = {"op5_decontamination": decontaminate.op5_decontamination}
+QUERIES = {
+    "op2_packing": packing.op2_packing,
+    "op3_nearest_neighbours": neighbours.op3_nearest_neighbours,
+    "op4_sharding": sharding.op4_sharding,
+    "op5_decontamination": decontaminate.op5_decontamination,
+    "op6_license_scan": licenses.op6_license_scan,
+    "op8_simhash": simhash.op8_simhash,
+    "op10_secrets": secrets.op10_secrets,
+}
 ORACLES = {"op5_decontamination": decontaminate.ORACLE}
