@@ -16,14 +16,13 @@ def plain(texts):
     return [e.ids for e in t.encode_batch(texts, add_special_tokens=False)]
 
 
-def test_word_tokenizer_equals_the_plain_one(texts):
+def test_encoding_equals_the_file_in_its_own_library(texts):
     r = random.Random(2)
     odd = ["".join(r.choice(["a", "Bc", " ", "  ", "\n", "\t", "é", "　", "\x1c", "'s", "12", "!?", " ", "<|endoftext|>"]) for _ in range(40))
            for _ in range(400)]
     odd += [t or "" for t in texts] + [" ", "  ", " a", "a ", "a  ", "\n a", "a\n \n b"]
-    encode = packing.WordTokenizer(PATH)
-    for i in range(0, len(odd), 50):
-        assert [x.tolist() for x in encode(odd[i:i + 50])] == plain(odd[i:i + 50])
+    encoding = packing.file_encoding(PATH)
+    assert [encoding.encode_to_numpy(x, disallowed_special=()).tolist() for x in odd] == plain(odd)
 
 
 def test_pieces(spark, texts):
