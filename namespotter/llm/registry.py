@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import decontaminate, licenses, neighbours, packing, secrets, sharding, simhash
+from . import decontaminate, licenses, lmscore, neighbours, packing, secrets, sharding, simhash
 
 QUERIES = {
+    "op1_lm_scoring": lmscore.op1_lm_scoring,
     "op2_packing": packing.op2_packing,
     "op3_nearest_neighbours": neighbours.op3_nearest_neighbours,
     "op4_sharding": sharding.op4_sharding,
