@@ -49,7 +49,7 @@ BUCKET_BYTES = 8 << 20
 CHUNK = 500_000
 LEVELS = 100
 
-_END = xxhash.xxh64_intdigest(b" end")  # no word has a space
+END = xxhash.xxh64_intdigest(b" end")  # no word has a space
 _M1, _M2, _M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 _S = [np.uint64(x) for x in range(64)]
 
@@ -76,7 +76,7 @@ class Words:
             known[w] = xxhash.xxh64_intdigest(w)
         out = np.empty(len(words) + 1, np.uint64)
         out[:-1] = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
-        out[-1] = _END
+        out[-1] = END
         return out
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, licenses, lmscore, neighbours, packing, secrets, sharding, simhash
+from . import decontaminate, licenses, lmscore, neighbours, packing, quality, secrets, sharding, simhash
 
 QUERIES = {
     "op1_lm_scoring": lmscore.op1_lm_scoring,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_decontamination": decontaminate.op5_decontamination,
     "op6_license_scan": licenses.op6_license_scan,
     "op8_simhash": simhash.op8_simhash,
+    "op9_quality": quality.op9_quality,
     "op10_secrets": secrets.op10_secrets,
 }
 ORACLES = {"op5_decontamination": decontaminate.ORACLE}

@@ -66,7 +66,7 @@ def test_probabilities_sum_to_about_one(spark, texts):
         c = hashed(context.encode())[:2]
         total = 0.0
         for w in [*vocab, None, b"unknown"]:
-            last = hashed(w)[0] if w else lmscore._END
+            last = hashed(w)[0] if w else lmscore.END
             seq = np.array([*c, last], np.uint64)
             total += 10 ** model.log10(seq, np.arange(3), model.head(seq))[2]
         assert 0.88 < total < 1.14  # quantised counts
