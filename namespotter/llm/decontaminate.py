@@ -108,6 +108,14 @@ def _summary(n_words: int, joined: str, found: list, raw: bytes):
     return n_words, int(hit.sum()), len(items), digest, True, spans
 
 
+def clean_only(docs: DataFrame, items: DataFrame, size: int = 10, text_col: str = "text") -> DataFrame:
+    """The rows that hold no window of the benchmark, with the columns of ``docs``."""
+    columns = docs.columns
+    named = [f"c{i}" for i in range(len(columns))]
+    marked = contaminated_words(docs.toDF(*named), items, size, named[columns.index(text_col)])
+    return marked.where(~F.col("contaminated")).select(*named).toDF(*columns)
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return contaminated_words(docs, table(spark, sf_dir, "benchmark"), keep=["doc_id"]).drop("hit_spans")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, licenses, lmscore, neighbours, packing, quality, secrets, sharding, simhash
+from . import decontaminate, licenses, lmscore, neighbours, packing, quality, repeats, secrets, sharding, simhash
 
 QUERIES = {
     "op1_lm_scoring": lmscore.op1_lm_scoring,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_sharding": sharding.op4_sharding,
     "op5_decontamination": decontaminate.op5_decontamination,
     "op6_license_scan": licenses.op6_license_scan,
+    "op7_suffix_dedup": repeats.op7_suffix_dedup,
     "op8_simhash": simhash.op8_simhash,
     "op9_quality": quality.op9_quality,
     "op10_secrets": secrets.op10_secrets,
