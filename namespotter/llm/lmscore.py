@@ -29,13 +29,12 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import written
-from .common import long_field, per_document, spaced_words, table
+from .common import long_field, per_document, table
 
 ORDER = 3
 MIN_COUNT = 2
@@ -45,11 +44,11 @@ BITS_PER_EVENT = 12
 HASHES = 3
 #: Training text for one bucket.
 BUCKET_BYTES = 8 << 20
-#: Tokens a task works on at a time (a longer text goes alone).
-CHUNK = 500_000
+#: Text a task works on at a time (a longer one goes alone).
+CHUNK = 2 << 20
 LEVELS = 100
 
-END = xxhash.xxh64_intdigest(b" end")  # no word has a space
+END = 0x2545F4914F6CDD1D
 _M1, _M2, _M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 _S = [np.uint64(x) for x in range(64)]
 
@@ -61,23 +60,39 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _S[31])
 
 
-class Words:
-    """64-bit hashes of words, kept between texts up to a bound."""
+_LETTER = mix(np.arange(1, 257, dtype=np.uint64) * _M1)
+_BASE = int(_M1)
+_SPACE = np.zeros(256, bool)
+_SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
-    def __init__(self, most: int = 400_000):
-        self.known, self.most = {}, most
 
-    def __call__(self, raw: bytes) -> np.ndarray:
-        words = spaced_words(raw)
-        if len(self.known) > self.most:
-            self.known = {}
-        known = self.known
-        for w in set(words).difference(known):
-            known[w] = xxhash.xxh64_intdigest(w)
-        out = np.empty(len(words) + 1, np.uint64)
-        out[:-1] = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
-        out[-1] = END
-        return out
+def powers(x: int, n: int) -> np.ndarray:
+    """1, x, x^2, ... modulo 2^64."""
+    out = np.full(n, x, np.uint64)
+    out[:1] = 1
+    return np.cumprod(out)
+
+
+class Tokens:
+    """64-bit hashes of the words of texts, many texts at a time: polynomials over
+    random letter values, by one running sum over the joined bytes."""
+
+    def __init__(self):
+        self.up = self.down = np.empty(0, np.uint64)
+
+    def __call__(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Tokens of all texts, each with its end, and each text's number of them."""
+        data = np.frombuffer(b"\n".join(texts).lower(), np.uint8)
+        if len(self.up) <= len(data):
+            self.up, self.down = powers(_BASE, len(data) + 1), powers(pow(_BASE, -1, 1 << 64), len(data) + 1)
+        edge = np.diff(np.concatenate(([True], _SPACE[data], [True])).astype(np.int8))
+        first, past = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
+        total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_LETTER[data] * self.up[:len(data)])))
+        h = mix((total[past] - total[first]) * self.down[first] ^ (past - first).astype(np.uint64) * _M3)
+        text = np.searchsorted(np.cumsum([len(t) + 1 for t in texts]), first, side="right")
+        out = np.full(len(h) + len(texts), END, np.uint64)
+        out[np.arange(len(h)) + text] = h
+        return out, np.bincount(text, minlength=len(texts)) + 1
 
 
 def context_of(key: np.ndarray) -> np.ndarray:
@@ -90,18 +105,17 @@ def longer(key_before: np.ndarray, word: np.ndarray) -> np.ndarray:
     return (context_of(key_before) << _S[28]) | (mix(key_before * _M1 ^ word) >> _S[36])
 
 
-def chunks(texts: list[bytes], words: Words) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(tokens, length of each text) of consecutive texts of about CHUNK tokens together."""
+def chunks(texts: list[bytes], tokens: Tokens) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(tokens, number of each text) of consecutive texts of about CHUNK bytes together."""
     held, n = [], 0
     for t in texts:
-        w = words(t)
-        held.append(w)
-        n += len(w)
-        if n >= CHUNK:
-            yield np.concatenate(held), np.array([len(x) for x in held])
+        if held and n + len(t) > CHUNK:
+            yield tokens(held)
             held, n = [], 0
+        held.append(t)
+        n += len(t)
     if held:
-        yield np.concatenate(held), np.array([len(x) for x in held])
+        yield tokens(held)
 
 
 def positions(lengths: np.ndarray) -> np.ndarray:
@@ -161,9 +175,10 @@ class Filter:
         self.bytes = np.frombuffer(b"".join(segments), np.uint8)
 
     def level(self, keys: np.ndarray, most: int = LEVELS) -> np.ndarray:
-        out = np.zeros(len(keys), np.int64)
         if not self.width:
-            return out
+            return np.zeros(len(keys), np.int64)
+        keys, back = np.unique(keys, return_inverse=True)  # frequent keys go deep; once is enough
+        out = np.zeros(len(keys), np.int64)
         active, base = np.arange(len(keys)), bucket_of(keys, self.buckets) * (self.width // 8)
         for j in range(1, most + 1):
             own = keys[active]
@@ -174,7 +189,7 @@ class Filter:
             if not len(active):
                 break
             out[active] = j
-        return out
+        return out[back]
 
     def count(self, keys: np.ndarray) -> np.ndarray:
         return count_at(self.level(keys))
@@ -236,10 +251,10 @@ def _merged(keys: np.ndarray, *values: np.ndarray):
 def _run_rows(keys: np.ndarray, buckets: int, *values: np.ndarray) -> list[tuple]:
     """One (bucket, keys, values...) per bucket that has keys."""
     b = bucket_of(keys, buckets)
-    order = np.argsort(b, kind="stable")
+    order = np.argsort(b.astype(np.uint16) if buckets < 1 << 16 else b, kind="stable")
     edge = np.searchsorted(b[order], np.arange(buckets + 1))
-    return [(k, keys[o].tobytes(), *(v[o].astype(np.uint32 if v.max(initial=0) < 1 << 32 else np.uint64).tobytes() for v in values))
-            for k in range(buckets) if len(o := order[edge[k]:edge[k + 1]])]
+    columns = [keys[order]] + [v[order].astype(np.uint32 if v.max(initial=0) < 1 << 32 else np.uint64) for v in values]
+    return [(k, *(c[a:z].tobytes() for c in columns)) for k, (a, z) in enumerate(zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True)) if z > a]
 
 
 def _unpack(raw, n: int) -> np.ndarray:
@@ -250,7 +265,7 @@ def _unpack(raw, n: int) -> np.ndarray:
 def _counted(train: DataFrame, n: int, buckets: int, filters, text_col: str) -> DataFrame:
     """Runs of the keys of order ``n`` that can occur twice."""
     def run(batches):
-        words = Words()
+        words = Tokens()
         known = filters.value if filters is not None else None
         for b in batches:
             texts = [x or b"" for x in b.column(0).cast(pa.binary()).to_pylist()]
@@ -426,7 +441,7 @@ def lm_scores(docs: DataFrame, train: DataFrame, order: int = ORDER, text_col: s
     base = docs.select(*[F.col(c).alias(n) for c, n in named.items()], F.col(text_col).alias("scored_text"))
 
     def start():
-        words, m = Words(), shared.value
+        words, m = Tokens(), shared.value
 
         def compute(texts):
             out = [[], [], [], [], []]

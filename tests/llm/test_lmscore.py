@@ -41,6 +41,15 @@ def test_base_score_is_exact(spark, texts, monkeypatch):
     assert abs(one["base_score"] - one["n_tokens"] * math.log10(0.5 / 0.5)) < 1e-9 and one["n_known"] == 0
 
 
+def test_tokens(texts):
+    raw = [(t or "").encode() for t in texts]
+    for batch in (raw, raw[:1], raw[3:4], []):
+        got, sizes = lmscore.Tokens()(batch)
+        names = [w for t in batch for w in [*t.lower().split(), None]]
+        assert sizes.tolist() == [len(t.split()) + 1 for t in batch] and len(got) == len(names)
+        assert len(set(zip(got.tolist(), names, strict=True))) == len(set(names)) == len(set(got.tolist()))
+
+
 def test_filter_reads_back_levels():
     rng = np.random.default_rng(1)
     keys, counts = rng.integers(0, 1 << 63, 4000).astype(np.uint64), rng.integers(1, 5000, 4000)
@@ -61,7 +70,7 @@ def test_probabilities_sum_to_about_one(spark, texts):
     d = spark.createDataFrame(rows, "doc_id long, text string")
     model, _ = lmscore.fit(d, order=3, bucket_bytes=20_000)
     vocab = sorted({w for _, t in rows for w in words(t) if w})
-    hashed = lmscore.Words()
+    hashed = lambda raw: lmscore.Tokens()([raw])[0]
     for context in ("w0 w1", "w3 w0", "w7 w2", "zz yy"):
         c = hashed(context.encode())[:2]
         total = 0.0
