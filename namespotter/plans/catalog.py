@@ -26,7 +26,7 @@ from ..operators.resolve import resolution_report, resolve_names, staged_resolut
 from ..operators.results import minmax_normalise
 from ..functions.text import alnum_lower, split_ws
 from ..functions.windows import char_ngrams, word_chunks
-from ..operators.spans import best_span_matches, first_containing_spans, fuzzy_context
+from ..operators.spans import best_span_matches, first_containing_spans, ratio_context
 from ..operators.vector import tfidf_pairs
 from ..operators.vector import bigram_cosine_pairs, embedding_pairs, tfidf_matches_with_context
 from ..sources.tables import embeddings
@@ -258,21 +258,21 @@ def q_best_span_stats(spark: SparkSession, sf: str) -> DataFrame:
     return score_stats(best_span_matches(documents(spark, sf), entities_all(spark, sf)))
 
 
-@register("tfidf_fuzzy_context")
-def q_tfidf_fuzzy_context(spark: SparkSession, sf: str) -> DataFrame:
+@register("tfidf_ratio_context")
+def q_tfidf_ratio_context(spark: SparkSession, sf: str) -> DataFrame:
     """J8 + R7: TF-IDF matches with the best same-length word window by
     ratio (null context below 70)."""
     docs = documents(spark, sf)
-    return fuzzy_context(tfidf_pairs(docs, entities_all(spark, sf)), docs).select(
+    return ratio_context(tfidf_pairs(docs, entities_all(spark, sf)), docs).select(
         "doc_id", "entity_id", "name", r6(), "context", "context_ratio")
 
 
-@register("tfidf_fuzzy_report")
-def q_tfidf_fuzzy_report(spark: SparkSession, sf: str) -> DataFrame:
+@register("tfidf_ratio_report")
+def q_tfidf_ratio_report(spark: SparkSession, sf: str) -> DataFrame:
     """F8 + T16: top 20 by score, then only rows whose context ratio is
     above 75 (the filter applies after the cut, so fewer than 20 may show)."""
     docs = documents(spark, sf)
-    m = fuzzy_context(tfidf_pairs(docs, entities_all(spark, sf)), docs).select(
+    m = ratio_context(tfidf_pairs(docs, entities_all(spark, sf)), docs).select(
         "doc_id", "entity_id", "name", r6(), "context", "context_ratio")
     return top_k(m, 20, "score", "doc_id", "entity_id").where(F.col("context_ratio") > 75)
 

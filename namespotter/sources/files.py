@@ -59,8 +59,7 @@ def resolve_text_column(df: DataFrame, preferred: list[str] | None = None) -> st
     for c in preferred:
         if c in df.columns:
             return c
-    raise ValueError(f"None of the preferred columns {preferred} found in DataFrame. "
-                     f"Available columns are: {df.columns}")
+    raise ValueError(f"no text column: looked for {preferred} among {df.columns}")
 
 
 def load_documents_csv(spark: SparkSession, path: str, quoting: bool = True) -> tuple[DataFrame, DataFrame]:
