@@ -60,7 +60,3 @@ def vector_terms(col) -> Column:
 def split_ws(col) -> Column:
     """Split on whitespace runs, dropping empty pieces (leading space)."""
     return F.filter(F.split(_c(col), SPACE_RUN_RE), lambda x: x != F.lit(""))
-
-
-def is_ascii(col) -> Column:
-    return ~_c(col).rlike(r"[^\x00-\x7F]")

@@ -61,25 +61,3 @@ def char_ngrams(s, n: int) -> Column:
     the string is shorter than n.  A zero-width lookahead makes the regex
     engine return every overlapping n-gram natively (no lambda per gram)."""
     return F.regexp_extract_all(_c(s), F.lit(f"(?s)(?=(.{{{n}}}))"), 1)
-
-
-def tag_repeats(arr) -> Column:
-    """Turn a multiset into a set: the k-th copy of ``x`` becomes ``x#k``, so
-    set intersection of tagged arrays counts shared items with multiplicity."""
-    a = _c(arr)
-    return F.transform(
-        a, lambda x, i: F.concat(x, F.lit("#"),
-                                 F.size(F.filter(F.slice(a, 1, i + 1), lambda y: y == x)).cast("string")))
-
-
-def deletion_variants(s, k: int) -> Column:
-    """All strings obtained from ``s`` by deleting at most ``k`` characters
-    (``s`` itself included).  Two strings within edit distance k share one."""
-    c = _c(s)
-    out = F.array(c)
-    for _ in range(k):
-        out = F.array_distinct(F.flatten(F.transform(out, lambda v: F.concat(
-            F.array(v),
-            F.transform(F.sequence(F.lit(1), F.greatest(F.length(v), F.lit(1))),
-                        lambda i: F.concat(F.substring(v, 1, i - 1), F.substring(v, i + 1, 1 << 30)))))))
-    return out

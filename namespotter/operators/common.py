@@ -80,6 +80,3 @@ def normalised_entities(entities: DataFrame, norm, name_col: str = "name") -> Da
     """``entity_id, name, nn``: each name normalised once, not once per pair."""
     return entities.select("entity_id", F.col(name_col).alias("name"),
                            norm(F.col(name_col)).alias("nn"))
-
-
-NORMS = {"strip_punct": strip_punct, "alnum_lower": alnum_lower}

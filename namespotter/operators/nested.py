@@ -1,61 +1,81 @@
-"""Dictionary-side nested loop for scores that have no exact equi-join
-blocking (Jaro-Winkler, sequence-matcher ratios, dense cosine).
-
-The query side (distinct windows, spans, vectors) stays a distributed
-DataFrame and is streamed through ``mapInPandas`` in Arrow batches.  The
-dictionary side travels to the executors as a broadcast *only after a count
-proves it small*; a larger dictionary is cut into blocks of that size and
-each block makes one pass over the query side, so memory per task stays
-bounded and the total work is the same.
+"""Nested loops for scores that have no exact equi-join blocking
+(Jaro-Winkler, sequence-matcher ratios, dense cosine).
+
+A dictionary of at most one block is broadcast (its rows are counted first)
+and the query side streams past it in Arrow batches.  A larger dictionary
+stays distributed: both sides are cut into blocks by hash and every (query
+block, dictionary block) pair is one group of a cogrouped join, so neither
+the driver nor a task ever holds more than a block of each side.  Kernels
+see at most ``CELLS`` (query, name) cells at a time.
 """
 
 from __future__ import annotations
 
-from functools import reduce
 from typing import Callable
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Rows of the dictionary side one broadcast block may hold.
-DICT_BLOCK_ROWS = 100_000
+from ..session import written
+from .common import spread_work
 
+# Rows of the dictionary side one block may hold.
+DICT_BLOCK_ROWS = 4096
+# Rows of the query side in one block of the grid.
+QUERY_BLOCK_ROWS = 16_384
+# (query, name) cells a kernel is given at a time: 32 MB for a double each.
+CELLS = 1 << 22
 
-def dictionary_blocks(dictionary: DataFrame, block_rows: int = DICT_BLOCK_ROWS,
-                      key: str = "entity_id") -> list[pd.DataFrame]:
-    """Cut the dictionary into blocks of at most ``block_rows`` rows (the
-    size check) and bring each block to the driver for broadcasting."""
-    n = dictionary.count()
-    n_blocks = max(1, -(-n // block_rows))
-    if n_blocks == 1:
-        return [dictionary.toPandas()]
-    tagged = dictionary.withColumn("_blk", F.pmod(F.xxhash64(key), F.lit(n_blocks)))
-    return [tagged.where(F.col("_blk") == b).drop("_blk").toPandas() for b in range(n_blocks)]
+
+def tiled(batch: pd.DataFrame, names: int, kernel: Callable, prepared):
+    """Results of ``kernel`` over slices of ``batch`` within the cell budget."""
+    step = max(1, min(4096, CELLS // max(names, 1)))
+    for lo in range(0, len(batch), step):
+        out = kernel(batch.iloc[lo:lo + step].reset_index(drop=True), prepared)
+        if len(out):
+            yield out
 
 
 def against_dictionary(queries: DataFrame, dictionary: DataFrame,
                        kernel: Callable[[pd.DataFrame, object], pd.DataFrame],
                        prepare: Callable[[pd.DataFrame], object], schema: str,
-                       block_rows: int = DICT_BLOCK_ROWS, key: str = "entity_id") -> DataFrame:
-    """Apply ``kernel(query_batch, prepared_block)`` to every Arrow batch of
-    ``queries`` for every dictionary block; ``prepare`` runs once per block
+                       block_rows: int | None = None, query_rows: int | None = None) -> DataFrame:
+    """Apply ``kernel(query_slice, prepared_block)`` to all rows of
+    ``queries`` and every dictionary block; ``prepare`` runs once per block
     and task (e.g. to encode the names as arrays)."""
-    from .common import spread_work
-    sc = queries.sparkSession.sparkContext
-    queries = spread_work(queries)
-    parts = []
-    for block in dictionary_blocks(dictionary, block_rows, key):
-        bc = sc.broadcast(block)
-
-        def run(batches, bc=bc):
+    block_rows, query_rows = block_rows or DICT_BLOCK_ROWS, query_rows or QUERY_BLOCK_ROWS
+    n = dictionary.count()
+    if n <= block_rows:
+        names = queries.sparkSession.sparkContext.broadcast(dictionary.toPandas())
+
+        def run(batches):
             prepared = None
             for batch in batches:
                 if prepared is None:
-                    prepared = prepare(bc.value)
-                out = kernel(batch, prepared)
-                if len(out):
-                    yield out
+                    prepared = prepare(names.value)
+                yield from tiled(batch, n, kernel, prepared)
+
+        return spread_work(queries).mapInPandas(run, schema)
+
+    queries = written(queries, "nested-queries")
+    n_d, n_q = -(-n // block_rows), max(1, -(-queries.count() // query_rows))
+    # hashes are taken mod the block counts: a block holds its rows give or take a few standard deviations
+    q = queries.withColumn("_qb", F.pmod(F.xxhash64(*queries.columns), F.lit(n_q)).cast("int")) \
+        .withColumn("_db", F.explode(F.sequence(F.lit(0), F.lit(n_d - 1))))
+    d = dictionary.withColumn("_db", F.pmod(F.xxhash64(*dictionary.columns), F.lit(n_d)).cast("int")) \
+        .withColumn("_qb", F.explode(F.sequence(F.lit(0), F.lit(n_q - 1))))
+    empty = schema_columns(schema)
+
+    def cell(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if not len(left) or not len(right):
+            return pd.DataFrame(columns=empty)
+        prepared = prepare(right.drop(columns=["_qb", "_db"]).reset_index(drop=True))
+        found = list(tiled(left.drop(columns=["_qb", "_db"]), len(right), kernel, prepared))
+        return pd.concat(found, ignore_index=True) if found else pd.DataFrame(columns=empty)
+
+    return q.groupBy("_qb", "_db").cogroup(d.groupBy("_qb", "_db")).applyInPandas(cell, schema)
+
 
-        parts.append(queries.mapInPandas(run, schema))
-    return reduce(DataFrame.unionByName, parts)
+def schema_columns(schema: str) -> list[str]:
+    return [part.split()[0] for part in schema.split(",")]

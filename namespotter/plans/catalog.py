@@ -21,7 +21,6 @@ from ..operators.results import score_stats, top_k
 from ..operators.tokens import candidate_words, token_set_matches
 from ..operators.prompts import (DOC_BUDGET, PACK_BUDGET, PROMPT_TEMPLATE, TUPLE_RE, pack_dictionary,
                                  pack_documents, parse_responses, prompt_requests)
-from ..sources.tables import table
 from ..operators.resolve import resolution_report, resolve_names, staged_resolution
 from ..operators.results import minmax_normalise
 from ..functions.text import alnum_lower, split_ws
@@ -31,7 +30,7 @@ from ..operators.vector import tfidf_pairs
 from ..operators.vector import bigram_cosine_pairs, embedding_pairs, tfidf_matches_with_context
 from ..sources.tables import embeddings
 from ..operators.results import best_per_name
-from ..sources.tables import documents, entities_all
+from ..sources.tables import documents, entities_all, responses
 from . import sql as S
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -395,22 +394,34 @@ def q_prompt_requests(spark: SparkSession, sf: str) -> DataFrame:
 
 
 _TUPLE_SQL = TUPLE_RE.replace("'", "''")
+_RESPONSES = """SELECT conv_id, turn, CASE role
+  WHEN 'assistant' THEN '[("' || nm || '", ' || sure || '), ("' || lower(nm) || '", 1)]'
+  WHEN 'user' THEN 'Sure: (''' || nm || ''',' || sure || ')'
+  ELSE '("' || nm || '", )' END AS text
+FROM (SELECT conv_id, turn, role, regexp_extract(text, '([\\p{L}]+)', 1) AS nm,
+             '0.' || lpad((length(text) % 100)::VARCHAR, 2, '0') AS sure FROM conversations)"""
 _P2 = (f"SELECT conv_id, turn, item, name, confidence FROM (SELECT conv_id, turn, "
        f"unnest(range(0, len(regexp_extract_all(text, '{_TUPLE_SQL}', 3)))) AS item, "
        f"regexp_extract_all(text, '{_TUPLE_SQL}', 1) AS dq, regexp_extract_all(text, '{_TUPLE_SQL}', 2) AS sq, "
-       f"regexp_extract_all(text, '{_TUPLE_SQL}', 3) AS num FROM conversations WHERE role = 'assistant') x, "
+       f"regexp_extract_all(text, '{_TUPLE_SQL}', 3) AS num FROM ({_RESPONSES})) x, "
        f"LATERAL (SELECT CASE WHEN dq[item + 1] <> '' THEN dq[item + 1] ELSE sq[item + 1] END AS name, "
        f"num[item + 1]::DOUBLE AS confidence)")
 
 
 @register("parsed_responses", _P2)
 def q_parsed_responses(spark: SparkSession, sf: str) -> DataFrame:
-    """(name, confidence) tuples parsed from every assistant turn."""
-    conv = table(spark, sf, "conversations").where(F.col("role") == "assistant")
-    return parse_responses(conv, "text", ("conv_id", "turn")).select(
+    """(name, confidence) tuples parsed from the response of every turn."""
+    return parse_responses(responses(spark, sf), "text", ("conv_id", "turn")).select(
         "conv_id", "turn", F.col("item").cast("long").alias("item"), "name", "confidence")
 
 
+@register("best_parsed_names", f"SELECT name, max(confidence) AS score FROM ({_P2}) GROUP BY name")
+def q_best_parsed_names(spark: SparkSession, sf: str) -> DataFrame:
+    """P2 + A1: best certainty per name over all responses."""
+    found = parse_responses(responses(spark, sf), "text", ("conv_id", "turn"))
+    return best_per_name(found.select("name", F.col("confidence").alias("score"))).select("name", "score")
+
+
 # ---------------------------------------------------------------- name resolution
 @register("name_resolution")
 def q_name_resolution(spark: SparkSession, sf: str) -> DataFrame:

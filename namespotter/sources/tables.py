@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import is_ascii, split_ws
+from ..functions.text import split_ws
 from ..session import sf_path
 
 
@@ -18,13 +18,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Give a scan at least as many partitions as the cluster has cores.
+    """Spread a scan of few splits over the cores.
 
-    A large corpus already arrives in many splits and is left alone (no
-    extra shuffle of the raw text); a scan of one big row group would
-    otherwise put every document of it into one task."""
+    A large corpus arrives in many splits and is left alone, also when they
+    fall short of the cores by up to half, for a shuffle of the raw text
+    would cost more; a single big row group would otherwise put every
+    document of it into one task."""
     target = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= target else df.repartition(target)
+    return df if 2 * df.rdd.getNumPartitions() >= target else df.repartition(target)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,12 +42,19 @@ def entities_all(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.array_join(F.slice(split_ws("text"), 1, 3), " ").alias("name"))
 
 
-def entities_ascii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same names, from passages without a character above U+007F."""
-    b = table(spark, sf_dir, "benchmark").where(is_ascii(F.col("text")))
-    return b.select(
-        F.col("item_id").alias("entity_id"),
-        F.array_join(F.slice(split_ws("text"), 1, 3), " ").alias("name"))
+def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One response text per conversation turn: assistant turns answer with
+    a quoted tuple, user turns with single quotes, all other turns with a
+    tuple that lacks its number.  The name is the first word run of the
+    turn's text, the certainty the last two digits of its length."""
+    c = table(spark, sf_dir, "conversations")
+    name = F.regexp_extract("text", r"([\p{L}]+)", 1)
+    sure = F.concat(F.lit("0."), F.lpad((F.length("text") % 100).cast("string"), 2, "0"))
+    text = (F.when(F.col("role") == "assistant", F.concat(F.lit('[("'), name, F.lit('", '), sure, F.lit('), ("'),
+                                                          F.lower(name), F.lit('", 1)]')))
+            .when(F.col("role") == "user", F.concat(F.lit("Sure: ('"), name, F.lit("',"), sure, F.lit(")")))
+            .otherwise(F.concat(F.lit('("'), name, F.lit('", )'))))
+    return c.select("conv_id", "turn", text.alias("text"))
 
 
 def embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:

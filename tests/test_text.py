@@ -4,7 +4,7 @@ import re
 from pyspark.sql import functions as F
 
 from namespotter.functions.text import alnum_lower, split_ws, strip_punct, vector_terms, word_tokens, ascii_clean
-from namespotter.functions.windows import char_ngrams, word_windows, word_spans, deletion_variants
+from namespotter.functions.windows import char_ngrams, word_windows, word_spans
 
 SAMPLES = ["Hello, World!", "a & b  c", "café_au-lait 2²", "x\u0085y z\x1cw", "  lead trail  ",
            "İstanbul Ünïcode", "tab\there\nnew", "", "áb", "emoji 😀 ok"]
@@ -56,9 +56,3 @@ def test_norm_order_trap(spark):
     b = df.select(word_windows(split_ws("t"))).first()[0]
     assert list(a) == ["x y z"]
     assert list(b) == ["x & y", "& y z"]
-
-
-def test_deletion_variants(spark):
-    df = spark.createDataFrame([("abc",)], "s string")
-    v = set(df.select(deletion_variants("s", 1)).first()[0])
-    assert v == {"abc", "bc", "ac", "ab"}
