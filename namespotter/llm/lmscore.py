@@ -10,8 +10,9 @@ enters as the events (key, 1) to (key, level of c), levels being logarithmic in
 c, and its quantised count is read back by probing level after level until one
 is missing.  Each
 context h also holds its kept total K(h) and its kept types T(h) in this way.
-The segments are broadcast together; their size is bounded by ``FILTER_BYTES``,
-and where the n-grams need more, the levels of the least frequent ones stay out.
+The filter holds every kept n-gram, so its bits grow with them.  Its segments are
+broadcast in groups: those that fit ``OPEN_BYTES`` stay open in a task, the
+others are opened one at a time for each ``ROUND`` of text.
 
 The score interpolates (Witten-Bell) from the unigrams up:
 ``P(w|h) = (c(hw) + B(h) P(w|h')) / (K(h) + B(h))`` with
@@ -29,6 +30,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -38,7 +40,10 @@ from .common import long_field, per_document, table
 
 ORDER = 3
 MIN_COUNT = 2
-FILTER_BYTES = 128 << 20
+#: Filter bits that a task keeps open; the rest is read group by group.
+OPEN_BYTES = 16 << 20
+#: Segments that are broadcast, and opened, together.
+GROUP_BYTES = 8 << 20
 HEAD_WORDS = 1 << 20
 BITS_PER_EVENT = 12
 HASHES = 3
@@ -46,6 +51,8 @@ HASHES = 3
 BUCKET_BYTES = 8 << 20
 #: Text a task works on at a time (a longer one goes alone).
 CHUNK = 2 << 20
+#: The same where some groups of the filter do not stay open.
+ROUND = 4 << 20
 LEVELS = 100
 
 END = 0x2545F4914F6CDD1D
@@ -118,6 +125,18 @@ def chunks(texts: list[bytes], tokens: Tokens) -> Iterator[tuple[np.ndarray, np.
         yield tokens(held)
 
 
+def rounds(texts: list[bytes], tokens: Tokens, size: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The same of about ``size`` bytes together, hashed chunk by chunk."""
+    held = []
+    for c in chunks(texts, tokens):
+        held.append(c)
+        if len(held) * CHUNK >= size:
+            yield tuple(map(np.concatenate, zip(*held, strict=True)))
+            held = []
+    if held:
+        yield tuple(map(np.concatenate, zip(*held, strict=True)))
+
+
 def positions(lengths: np.ndarray) -> np.ndarray:
     """The place of every token in its text."""
     starts = np.cumsum(lengths) - lengths
@@ -168,33 +187,71 @@ def segment(keys: np.ndarray, counts: np.ndarray, width: int) -> bytes:
 
 
 class Filter:
-    """Segments of one kind of key, read by probes."""
+    """Segments of one kind of key, read by probes.
+
+    ``groups`` are bytes or broadcasts of bytes.  The segment of bucket b is the one at ``place[b]`` of
+    group ``group[b]`` (-1: no key).  The first ``kept`` groups stay open, the others are opened for a probe.
+    """
 
     def __init__(self, segments: list[bytes], width: int):
-        self.buckets, self.width = len(segments), width
-        self.bytes = np.frombuffer(b"".join(segments), np.uint8)
+        n = len(segments)
+        self.buckets, self.width, self.groups, self.kept = n, width, [b"".join(segments)], 1
+        self.group, self.place = np.zeros(n, np.int64), np.arange(n)
+
+    @classmethod
+    def grouped(cls, width: int, groups: list, kept: int, group: np.ndarray, place: np.ndarray) -> Filter:
+        out = cls([], width)
+        out.buckets, out.groups, out.kept, out.group, out.place = len(group), groups, kept, group, place
+        return out
+
+    @property
+    def kept_bytes(self) -> int:
+        return int(((self.group >= 0) & (self.group < self.kept)).sum()) * (self.width // 8)
+
+    @property
+    def whole(self) -> bool:
+        return self.kept >= len(self.groups)
+
+    def _opened(self, g: int) -> np.ndarray:
+        held = self.groups[g]
+        if isinstance(held, Broadcast):
+            # the value of a broadcast stays in the worker
+            held = held.value if g < self.kept or not held._path else held.load_from_path(held._path)
+        return np.frombuffer(held, np.uint8)
 
     def level(self, keys: np.ndarray, most: int = LEVELS) -> np.ndarray:
         if not self.width:
             return np.zeros(len(keys), np.int64)
         keys, back = np.unique(keys, return_inverse=True)  # frequent keys go deep; once is enough
         out = np.zeros(len(keys), np.int64)
-        active, base = np.arange(len(keys)), bucket_of(keys, self.buckets) * (self.width // 8)
+        bucket = bucket_of(keys, self.buckets)
+        base, group = self.place[bucket] * (self.width // 8), self.group[bucket]
+        order = np.argsort(group, kind="stable")
+        edge = np.searchsorted(group[order], np.arange(len(self.groups) + 1))
+        for g, (a, z) in enumerate(zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True)):
+            if a < z:
+                self._probe(self._opened(g), keys, base, order[a:z], out, most)
+        return out[back]
+
+    def _probe(self, bits: np.ndarray, keys: np.ndarray, base: np.ndarray, active: np.ndarray, out: np.ndarray, most: int) -> None:
         for j in range(1, most + 1):
             own = keys[active]
             hit = np.ones(len(active), bool)
             for at in _bits(own, j, self.width):
-                hit &= (self.bytes[base[active] + (at >> 3)] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1
+                hit &= (bits[base[active] + (at >> 3)] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1
             active = active[hit]
             if not len(active):
                 break
             out[active] = j
-        return out[back]
 
     def count(self, keys: np.ndarray) -> np.ndarray:
         return count_at(self.level(keys))
 
 
+def chunk_for(filters: dict[str, Filter]) -> int:
+    return CHUNK if all(f.whole for f in filters.values()) else ROUND
+
+
 class Model:
     """filters: by order, of n-grams (1 to order) and contexts' K and T (2 to order);
     head: sorted keys and counts of the most frequent words; N and V."""
@@ -204,6 +261,11 @@ class Model:
         self.head_keys, self.head_counts = head_keys, head_counts
         self.tokens, self.types = tokens, types
 
+    @property
+    def chunk(self) -> int:
+        """Bytes of text to score at a time."""
+        return chunk_for(self.filters)
+
     def head(self, w: np.ndarray) -> np.ndarray:
         """Exact counts of frequent words, 0 for the others."""
         if not len(self.head_keys):
@@ -265,11 +327,10 @@ def _unpack(raw, n: int) -> np.ndarray:
 def _counted(train: DataFrame, n: int, buckets: int, filters, text_col: str) -> DataFrame:
     """Runs of the keys of order ``n`` that can occur twice."""
     def run(batches):
-        words = Tokens()
-        known = filters.value if filters is not None else None
+        words, known = Tokens(), filters
         for b in batches:
             texts = [x or b"" for x in b.column(0).cast(pa.binary()).to_pylist()]
-            for w, lengths in chunks(texts, words):
+            for w, lengths in rounds(texts, words, chunk_for(known)):
                 key, place = w, positions(lengths)
                 open_ = np.ones(len(w), bool)
                 for m in range(2, n + 1):
@@ -339,59 +400,68 @@ def _levels(df: DataFrame, col: str) -> np.ndarray:
     return np.array([x or 0 for x in sums], np.int64)
 
 
-def _events(by_level: np.ndarray, least_level: int = 1) -> int:
-    return int((by_level * np.arange(LEVELS + 1))[least_level:].sum())
+def _events(by_level: np.ndarray) -> int:
+    return int((by_level * np.arange(LEVELS + 1)).sum())
 
 
-def _filter(df: DataFrame, value: str, buckets: int, events: int, least: int = 1) -> Filter:
-    """The segments of all buckets, gathered on the driver: BITS_PER_EVENT bits an event."""
+def _filter(df: DataFrame, value: str, buckets: int, events: int, room: int) -> Filter:
+    """The segments of all buckets, BITS_PER_EVENT bits an event, gathered and broadcast a group at a time;
+    groups of up to ``room`` bytes together stay open."""
     if not events:
         return Filter([b""] * buckets, 0)
+    sc = df.sparkSession.sparkContext
     width = max(64, -(-events * BITS_PER_EVENT // buckets) // 64 * 64 + 64)
 
     def build(batches):
         for b in batches:
             at = {c: i for i, c in enumerate(b.schema.names)}
             for k, keys, values in zip(*(b.column(at[x]).to_pylist() for x in ("bucket", "keys", value)), strict=True):
-                keys, values = np.frombuffer(keys, np.uint64), np.frombuffer(values, np.int64)
-                keep = values >= least
-                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([segment(keys[keep], values[keep], width)], pa.binary())], names=["bucket", "bits"])
-
-    made = {r["bucket"]: bytes(r["bits"]) for r in df.select("bucket", "keys", value).mapInArrow(build, "bucket int, bits binary").toLocalIterator()}
-    empty = bytes(width // 8)
-    return Filter([made.get(k, empty) for k in range(buckets)], width)
+                bits = segment(np.frombuffer(keys, np.uint64), np.frombuffer(values, np.int64), width)
+                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([bits], pa.binary())], names=["bucket", "bits"])
+
+    most = max(1, GROUP_BYTES // (width // 8))  # segments of a group
+    groups, held = [], []
+    group, place = np.full(buckets, -1, np.int64), np.zeros(buckets, np.int64)
+    for r in df.select("bucket", "keys", value).mapInArrow(build, "bucket int, bits binary").toLocalIterator():
+        group[r["bucket"]], place[r["bucket"]] = len(groups), len(held)
+        held.append(bytes(r["bits"]))
+        if len(held) == most:
+            groups.append(sc.broadcast(b"".join(held)))
+            held = []
+    if held:
+        groups.append(sc.broadcast(b"".join(held)))
+    full = most * (width // 8)
+    last = (len(held) or most) * (width // 8)
+    kept = len(groups) if (len(groups) - 1) * full + last <= room else min(len(groups) - 1, room // full)
+    return Filter.grouped(width, groups, kept, group, place)
 
 
-def fit(train: DataFrame, order: int = ORDER, text_col: str = "text", filter_bytes: int = FILTER_BYTES, head_words: int = HEAD_WORDS,
+def fit(train: DataFrame, order: int = ORDER, text_col: str = "text", open_bytes: int = OPEN_BYTES, head_words: int = HEAD_WORDS,
         bucket_bytes: int = BUCKET_BYTES) -> tuple[Model, DataFrame]:
     """The model, and the exact unigram counts in buckets (keys, counts)."""
     size = train.agg(F.coalesce(F.sum(F.octet_length(text_col)), F.lit(0)).alias("n")).first()["n"]
     buckets = 4 + size // bucket_bytes
-    sc = train.sparkSession.sparkContext
-    share = filter_bytes * 8 // BITS_PER_EVENT // (3 * order - 2)  # events for each kind of key
     filters: dict[str, Filter] = {}
+    room = lambda: open_bytes - sum(f.kept_bytes for f in filters.values())
     unigrams = tokens = types = None
     for n in range(1, order + 1):
-        shared = sc.broadcast(filters) if n > 1 else None
-        counts = written(_bucket_counts(_counted(train, n, buckets, shared, text_col), 1 if n == 1 else MIN_COUNT, buckets if n > 1 else 0), f"ngrams{n}")
+        counts = written(_bucket_counts(_counted(train, n, buckets, {f"n{m}": filters[f"n{m}"] for m in range(1, n)}, text_col), 1 if n == 1 else MIN_COUNT, buckets if n > 1 else 0), f"ngrams{n}")
         if n == 1:
             unigrams = counts
             total = counts.agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("tokens"), F.coalesce(F.sum("types"), F.lit(0)).alias("types")).first()
             tokens, types = total["tokens"], total["types"]
-        filters[f"n{n}"] = _fitted(counts, "counts", "by_level", buckets, share)
+        filters[f"n{n}"] = _fitted(counts, "counts", "by_level", buckets, room())
         if n > 1:
             contexts = written(_context_totals(counts, buckets), f"contexts{n}")
-            filters[f"k{n}"] = _fitted(contexts, "kept", "kept_level", buckets, share)
-            filters[f"t{n}"] = _fitted(contexts, "types", "types_level", buckets, share)
+            filters[f"k{n}"] = _fitted(contexts, "kept", "kept_level", buckets, room())
+            filters[f"t{n}"] = _fitted(contexts, "types", "types_level", buckets, room())
     head_keys, head_counts = _head(unigrams, head_words)
     return Model(order, filters, head_keys, head_counts, tokens, types), unigrams
 
 
-def _fitted(df: DataFrame, value: str, levels: str, buckets: int, share: int) -> Filter:
-    """The filter of all keys, or of those from the least level at which the events fit."""
-    by_level = _levels(df, levels)
-    least = next(j for j in range(1, LEVELS + 2) if _events(by_level, j) <= share)
-    return _filter(df, value, buckets, _events(by_level, least), int(least_at(least)))
+def _fitted(df: DataFrame, value: str, levels: str, buckets: int, room: int) -> Filter:
+    """The filter of all keys."""
+    return _filter(df, value, buckets, _events(_levels(df, levels)), room)
 
 
 def _head(unigrams: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
@@ -434,18 +504,20 @@ def lm_scores(docs: DataFrame, train: DataFrame, order: int = ORDER, text_col: s
     are zero, and every token has the probability of an unknown one.
     """
     model, unigrams = fit(train, order, text_col, **bounds)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    # in the closure go the handles of the filter's groups
+    heads = docs.sparkSession.sparkContext.broadcast((model.head_keys, model.head_counts))
+    bare = Model(model.order, model.filters, None, None, model.tokens, model.types)
     names = ["n_tokens", "n_known", "train_tokens", "base_score", "score"]
     kept = [c for c in (docs.columns if keep is None else keep) if c not in names]
     named = {c: f"c{i}" for i, c in enumerate(kept)}
     base = docs.select(*[F.col(c).alias(n) for c, n in named.items()], F.col(text_col).alias("scored_text"))
 
     def start():
-        words, m = Tokens(), shared.value
+        words, m = Tokens(), Model(bare.order, bare.filters, *heads.value, bare.tokens, bare.types)
 
         def compute(texts):
             out = [[], [], [], [], []]
-            for w, lengths in chunks(texts, words):
+            for w, lengths in rounds(texts, words, m.chunk):
                 head = m.head(w)
                 first = np.cumsum(lengths) - lengths
                 logs = np.where(head > 0, np.log10(head + 0.5), 0.0)

@@ -79,3 +79,15 @@ def test_probabilities_sum_to_about_one(spark, texts):
             seq = np.array([*c, last], np.uint64)
             total += 10 ** model.log10(seq, np.arange(3), model.head(seq))[2]
         assert 0.88 < total < 1.14  # quantised counts
+
+
+def test_a_small_filter_loses_no_n_gram(spark, monkeypatch):
+    """Filter bits beyond the bound are read group by group; every score stays."""
+    d = spark.createDataFrame(list(enumerate(corpus([]))), "doc_id long, text string")
+    want = {r["doc_id"]: r["score"] for r in lmscore.lm_scores(d, d, bucket_bytes=4_000).collect()}
+    monkeypatch.setattr(lmscore, "GROUP_BYTES", 1_000)
+    model, _ = lmscore.fit(d, open_bytes=4_000, bucket_bytes=4_000)
+    assert len(model.filters["n3"].groups) > 2 and not model.filters["n3"].whole and model.chunk == lmscore.ROUND
+    got = {r["doc_id"]: r["score"] for r in lmscore.lm_scores(d, d, open_bytes=4_000, bucket_bytes=4_000).collect()}
+    assert got == want
+    assert {r["doc_id"]: r["score"] for r in lmscore.lm_scores(d, d, open_bytes=0, bucket_bytes=4_000).collect()} == want
