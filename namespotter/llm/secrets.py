@@ -140,7 +140,7 @@ def literal_spans(text: str, least: float = 0.5) -> list[tuple[int, int]]:
 
 
 def secret_spans(raw: bytes, least: float = 0.5) -> list[tuple[str, int, int]]:
-    """All spans by start, then kind: base spans and, where they cover nothing yet, scored literals."""
+    """All spans by start, then kind: base spans, and the scored literals that these do not cover whole."""
     low = raw.lower()
     lexed = _STEMS.search(low) is not None
     if not (lexed or b"AKIA" in raw or any(k in low for k in _KEYWORDS) or _LONG_HEX.search(raw)):
@@ -149,12 +149,17 @@ def secret_spans(raw: bytes, least: float = 0.5) -> list[tuple[str, int, int]]:
     found = base_spans(text)
     if lexed:
         covered = sorted((a, b) for k, a, b in found)
-        found += [("literal", a, b) for a, b in literal_spans(text, least) if not _overlaps(covered, a, b)]
+        found += [("literal", a, b) for a, b in literal_spans(text, least) if not _covers(covered, a, b)]
     return sorted(found, key=lambda x: (x[1], KINDS.index(x[0])))
 
 
-def _overlaps(spans, a, b):
-    return any(s < b and a < e for s, e in spans)
+def _covers(spans, a, b):
+    """Whether the union of sorted spans holds all of a to b."""
+    for s, e in spans:
+        if s > a or a >= b:
+            break
+        a = max(a, e)
+    return a >= b
 
 
 def _joined(spans) -> str:

@@ -49,3 +49,13 @@ def test_redaction(spark):
     d = spark.createDataFrame([(1, 'x pwd = "s3cr3tV4lue9x" y', 99), (2, None, None), (3, "plain", 5)], "doc_id long, text string, n_chars long")
     got = {r["doc_id"]: (r["text"], r["n_chars"]) for r in secrets.redact_secrets(d).collect()}
     assert got == {1: ('x pwd = "[SECRET]" y', 20), 2: (None, None), 3: ("plain", 5)}
+
+
+def test_literals_that_base_spans_cover_in_part():
+    hexed = "deadbeef" * 4
+    for value in ("Tr0ub4dor&3-horse", "Tr0ub4dor!x", "abcdefgh1@x", "abcdefgh1#%^*~", hexed + "&tail", "&" + hexed, "a&" + hexed + "&b"):
+        text = f'x\npassword = "{value}" y'
+        assert literals(text) == [value]
+        assert secrets.redacted(text.encode()) in ('x\n[SECRET]" y', 'x\npassword = "[SECRET]" y')
+    assert literals('password = "Tr0ub4dor3horse"') == []  # the base span has it all
+    assert literals(f'pwd = "{hexed}"') == []
