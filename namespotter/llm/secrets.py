@@ -43,6 +43,8 @@ _LEX = re.compile(r"""
   | (?P<word>[^\s"'`=:+;,{}\[\]()]+)
   | (?P<skip>[ \t\r\f\v]+|.)
 """, re.X)
+#: Of string literals: b"", rb"", u8"", r#""#, $"", @"".
+_PREFIX = re.compile(r"(?:[A-Za-z]{1,2}#*|u8|[$@]{1,2})\Z")
 _NAME = re.compile(r"[A-Za-z_$][\w$.\-]*\Z", re.A)
 
 
@@ -63,36 +65,80 @@ def assignments(text: str):
             kind, a, b = tokens[i - 1]
             name = text[a:b] if kind == "word" else text[a + 1:b - 1]
             if _NAME.match(name):
+                typed = _after_type(text, tokens, i)
                 parts, i = _value(text, tokens, i + 1)
                 if parts:
                     yield name, parts
+                if typed and (parts := _value(text, tokens, typed + 1)[0]):
+                    yield name, parts
                 continue
         i += 1
 
 
+def _after_type(text, tokens, i):
+    """The equals sign after the colon at ``i`` and a type on the same line, if there is one."""
+    if text[tokens[i][1]] != ":" or tokens[i][2] - tokens[i][1] > 1:
+        return None
+    depth = 0
+    for k in range(i + 1, len(tokens)):
+        kind, a, b = tokens[k]
+        if kind == "bind":
+            return k if text[a:b] == "=" and k > i + 1 and depth <= 0 else None
+        if kind == "word":
+            depth += text.count("<", a, b) - text.count(">", a, b)
+        elif kind == "end" and text[a] in "[(":
+            depth += 1
+        elif kind == "end" and text[a] in "])" and depth > 0:
+            depth -= 1
+        elif kind != "end" or text[a] != "," or depth <= 0:
+            return None
+    return None
+
+
+def _next_pair(text, tokens, i):
+    """Whether the token at ``i`` is the name of a pair."""
+    kind, a, b = tokens[i]
+    own = text[a:b] if kind == "word" else text[a + 1:b - 1]
+    return i + 1 < len(tokens) and tokens[i + 1][0] == "bind" and tokens[i + 1][2] - tokens[i + 1][1] == 1 and _NAME.match(own) is not None
+
+
 def _value(text, tokens, i):
-    """Operands joined by plus signs; anything else that follows ends the value."""
-    parts, want = [], True
+    """Operands joined by plus signs, or next to each other in brackets, also over
+    several lines in brackets or at a plus; anything else that follows ends the value."""
+    parts, want, depth, lines = [], True, 0, False
     while i < len(tokens):
         kind, a, b = tokens[i]
-        if want and kind == "string":
+        if kind == "end" and text[a] == "\n" and (depth or (want and parts) or _plus_follows(text, tokens, i)):
+            lines = True
+        elif kind == "end" and text[a] in "([" and want:
+            depth += 1
+        elif kind == "end" and text[a] in ")]" and depth:
+            depth -= 1
+        elif kind == "string" and (want or depth) and not (lines and _next_pair(text, tokens, i)):
             parts.append(("literal", a + 1, b - 1))
+            want = False
+        elif kind == "word" and (want or depth) and i + 1 < len(tokens) and tokens[i + 1][:2] == ("string", b) and _PREFIX.match(text[a:b]):
+            pass  # of the string that touches it
         elif want and kind == "word":
-            if i + 1 < len(tokens) and tokens[i + 1][0] == "bind" and text[a:b] and tokens[i + 1][2] - tokens[i + 1][1] == 1 and _NAME.match(text[a:b]):
-                break  # the name of the next pair
+            if _next_pair(text, tokens, i):
+                break
             parts += [("name", text[a:b])] if _NAME.match(text[a:b]) else []
             parts.append(("bare", a, b))
+            want = False
         elif not want and kind == "plus":
             want = True
-            i += 1
-            continue
         else:
             break
-        want = False
         i += 1
     return parts, i
 
 
+def _plus_follows(text, tokens, i):
+    """Whether the next line starts with a plus sign and an operand that is no pair's name."""
+    return (i + 2 < len(tokens) and tokens[i + 1][0] == "plus" and tokens[i + 2][0] in ("string", "word")
+            and not _next_pair(text, tokens, i + 2))
+
+
 def name_weight(name: str) -> float:
     spaced = re.sub(r"([a-z0-9])([A-Z])", r"\1_\2", name.rsplit(".", 1)[-1])
     parts = [p for p in re.split(r"[^a-z0-9]+", spaced.lower()) if p]

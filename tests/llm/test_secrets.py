@@ -59,3 +59,19 @@ def test_literals_that_base_spans_cover_in_part():
         assert secrets.redacted(text.encode()) in ('x\n[SECRET]" y', 'x\npassword = "[SECRET]" y')
     assert literals('password = "Tr0ub4dor3horse"') == []  # the base span has it all
     assert literals(f'pwd = "{hexed}"') == []
+
+
+def test_annotated_prefixed_and_continued_values():
+    v = "Zk39fj2kfQ81x"
+    for text in (f'api_token: str = "{v}"', f'const apiKey: string = "{v}";', f'let api_key: &str = "{v}";', f'pwd: Optional[str] = "{v}"',
+                 f"let signing_key: &'static str = \"{v}\";", f'auth_key: Dict[str, str] = "{v}"', f'key: Map<A, B> = "{v}"',
+                 f'def f(auth_token: str = "{v}", n: int = 3):',
+                 *(f'SIGNING_KEY = {p}"{v}"' for p in ("b", "r", "f", "rb", "u8", "$")), f'SIGNING_KEY = r#"{v}"#'):
+        assert literals(text) == [v], text
+    for text in ('client_credential = "Zk39fj2k" +\n  "fQ81xx73"', 'client_credential = (\n  "Zk39fj2k"\n  "fQ81xx73"\n)',
+                 'client_credential = ("Zk39fj2k" +\n "fQ81xx73")', 'client_credential = "Zk39fj2k"\n  + b"fQ81xx73";'):
+        assert literals(text) == ["Zk39fj2k", "fQ81xx73"], text
+    assert literals('a = "Zk39fj2k"\nprivate_key = a +\n b"fQ81xx73"') == ["Zk39fj2k", "fQ81xx73"]
+    assert literals(f'+ title: "x"\n+ pwd: "{v}"\n+ "name": "{v}y"') == [v]  # lines of a diff
+    assert literals(f'{{"pwd": none, "title": "{v}"}}') == []
+    assert literals(f'pwd: none, title = "{v}"') == []
