@@ -33,7 +33,10 @@ _LONG_HEX = re.compile(rb"[0-9a-f]{32}")
 SENSITIVE = {"password": 1.0, "passwd": 1.0, "passphrase": 1.0, "pwd": 0.9, "secret": 1.0, "token": 0.9, "apikey": 1.0,
              "credential": 0.9, "credentials": 0.9, "auth": 0.7, "bearer": 0.8, "key": 0.7, "privatekey": 1.0}
 _STEMS = re.compile(rb"(?:pass|pwd|secret|token|key|cred|auth|bearer)[\w.\-]*[\"']?[ \t]*(?::=|=>|=|:)")
-_PLACEHOLDER = re.compile(r"example|changeme|placeholder|redacted|your[_-]|x{4,}|\*{3,}|\.{3,}|^(.)\1*$|^\$|^<|^%|^\{", re.I)
+_PLACEHOLDER = re.compile(r"example|changeme|placeholder|redacted|your[_-]|x{4,}|\*{3,}|\.{3,}", re.I)
+#: A match of the pattern above lies in two neighbours' last and first characters, or in one of them.
+_EDGE = len("placeholder")
+_NOT_FIRST = "$<%{"
 
 _LEX = re.compile(r"""
     (?P<string>"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*'|`[^`\n]*`)
@@ -56,7 +59,7 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 
 # ------------------------------------------------------------ lexing
 def assignments(text: str):
-    """(name, parts) of every binding, in order; a part is ("literal", start, end)
+    """(name, parts) of every binding, in order, without parts where none are known; a part is ("literal", start, end)
     or ("name", name).  Quoted names count as names on the left of a bind."""
     tokens = [(m.lastgroup, m.start(), m.end()) for m in _LEX.finditer(text) if m.lastgroup != "skip"]
     i = 0
@@ -67,8 +70,7 @@ def assignments(text: str):
             if _NAME.match(name):
                 typed = _after_type(text, tokens, i)
                 parts, i = _value(text, tokens, i + 1)
-                if parts:
-                    yield name, parts
+                yield name, parts
                 if typed and (parts := _value(text, tokens, typed + 1)[0]):
                     yield name, parts
                 continue
@@ -146,28 +148,68 @@ def name_weight(name: str) -> float:
     return max((SENSITIVE.get(p, 0.0) for p in [*parts, *joined]), default=0.0)
 
 
+class Made:
+    """What a value's weight needs of its text, and the parts it is made of: literal
+    spans and other values.  The text itself is never joined."""
+
+    __slots__ = ("length", "counts", "head", "tail", "placeholder", "parts")
+
+    def __init__(self, text: str = "", span: tuple[int, int] | None = None):
+        self.length, self.counts, self.parts = len(text), Counter(text), [span] if span else []
+        self.head, self.tail, self.placeholder = text[:_EDGE], text[-_EDGE:], _PLACEHOLDER.search(text) is not None
+
+    def add(self, other: Made) -> None:
+        """Append another value's text."""
+        self.placeholder = self.placeholder or other.placeholder or _PLACEHOLDER.search(self.tail + other.head) is not None
+        if len(self.head) < _EDGE:
+            self.head = (self.head + other.head)[:_EDGE]
+        self.tail = (self.tail + other.tail)[-_EDGE:]
+        self.length += other.length
+        self.counts.update(other.counts)
+        self.parts.append(other)
+
+    def weight(self) -> float:
+        """0 for short or placeholder values, else up to 1 with length and entropy."""
+        if self.length < 8 or any(map(str.isspace, self.counts)) or self.placeholder:
+            return 0.0
+        if self.head[0] in _NOT_FIRST or len({c.lower() for c in self.counts}) == 1:
+            return 0.0
+        n = self.length
+        bits = -sum(c / n * math.log2(c / n) for c in self.counts.values() if c / n)
+        mixed = sum(any(map(f, self.counts)) for f in (str.isdigit, str.islower, str.isupper)) + any(not c.isalnum() for c in self.counts)
+        return min(n, 16) / 16 * min(1.0, bits / 3.5) * (1.0 if mixed > 1 else 0.6)
+
+
 def literal_weight(value: str) -> float:
-    """0 for short or placeholder values, else up to 1 with length and entropy."""
-    if len(value) < 8 or any(c.isspace() for c in value) or _PLACEHOLDER.search(value):
-        return 0.0
-    n = len(value)
-    bits = -sum(c / n * math.log2(c / n) for c in Counter(value).values())
-    mixed = sum(any(f(c) for c in value) for f in (str.isdigit, str.islower, str.isupper)) + any(not c.isalnum() for c in value)
-    return min(1.0, n / 16) * min(1.0, bits / 3.5) * (1.0 if mixed > 1 else 0.6)
+    return Made(value).weight()
 
 
 def literal_spans(text: str, least: float = 0.5) -> list[tuple[int, int]]:
     """Spans of the literals that reach a sensitive name, directly or through constants."""
-    values: dict[str, tuple[str, tuple]] = {}  # name: its text, the literals it is made of
-    found = set()
+    values: dict[str, Made] = {}
+    found, marked = set(), set()
+    held = []  # marked values stay, so that their ids do
+
+    def mark(made: Made) -> None:
+        stack = [made]
+        while stack:
+            own = stack.pop()
+            if id(own) not in marked:
+                marked.add(id(own))
+                held.append(own)
+                for p in own.parts:
+                    if isinstance(p, Made):
+                        stack.append(p)
+                    elif p[1] > p[0]:
+                        found.add(p)
+
     for name, parts in assignments(text):
-        made, sources, known = "", [], True
+        made, known = Made(), bool(parts)
         k = 0
         while k < len(parts):
             part = parts[k]
             if part[0] == "name" and part[1] in values:
-                made += values[part[1]][0]
-                sources += values[part[1]][1]
+                made.add(values[part[1]])
                 k += 2  # its bare form follows
                 continue
             if part[0] == "name":
@@ -175,13 +217,14 @@ def literal_spans(text: str, least: float = 0.5) -> list[tuple[int, int]]:
                 continue
             if part[0] == "bare" and len(parts) > 2:
                 known = False  # an unknown name inside an expression
-            made += text[part[1]:part[2]]
-            sources.append(part[1:])
+            made.add(Made(text[part[1]:part[2]], part[1:]))
             k += 1
-        if known and made and len(sources) <= 64 and len(made) <= 4096:
-            values[name] = made, tuple(sources)
-        if sources and name_weight(name) * literal_weight(made) >= least:
-            found.update(s for s in sources if s[1] > s[0])
+        if known and made.length:
+            values[name] = made
+        else:
+            values.pop(name, None)  # bound to something else now
+        if made.parts and name_weight(name) * made.weight() >= least:
+            mark(made)
     return sorted(found)
 
 

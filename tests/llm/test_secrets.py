@@ -1,5 +1,11 @@
 import hashlib
+import math
+import random
 import re
+import string
+from collections import Counter
+
+import pytest
 
 from namespotter.llm import secrets
 
@@ -75,3 +81,36 @@ def test_annotated_prefixed_and_continued_values():
     assert literals(f'+ title: "x"\n+ pwd: "{v}"\n+ "name": "{v}y"') == [v]  # lines of a diff
     assert literals(f'{{"pwd": none, "title": "{v}"}}') == []
     assert literals(f'pwd: none, title = "{v}"') == []
+
+
+def test_constants_of_any_size_and_rebound_names():
+    r = random.Random(3)
+    blob = "".join(r.choices(string.ascii_letters + string.digits, k=9000))
+    assert literals(f'blob = "{blob}"\nprivate_key = blob') == [blob]
+    parts = [blob[i:i + 40] for i in range(0, 4000, 40)]  # 100 literals
+    assert literals("blob = " + " + ".join(f'"{p}"' for p in parts) + "\nprivate_key = blob") == parts
+    doubled = f'a0 = "{blob[:20]}"\n' + "".join(f"a{i + 1} = a{i} + a{i}\n" for i in range(2000))
+    assert literals(doubled + "private_key = a2000") == [blob[:20]]
+    for other in ('{"a": 1}', "unknown + 'x'", "''"):
+        assert literals(f'x = "Zk39fj2kfQ81x"\nx = {other}\nprivate_key = x') == [], other
+    assert literals('a = "Zk39fj2kQ7place"\nb = "holder9Lm3"\nprivate_key = a + b') == []  # a placeholder over the joint
+    assert literals('a = "Zk39fj2kQ7pla"\nb = "ce"\nc = "holder9Lm3"\nprivate_key = a + b + c') == []
+
+
+def test_weight_against_the_whole_text():
+    r = random.Random(5)
+    pieces = ["ex", "amp", "le", "your", "_", "-", "xx", "X", "..", "**", "aA", "$", "<", "9", "Qk7", " ", "PLACE", "holder", "change", "me"]
+    for _ in range(3000):
+        own, made = r.choices(pieces, k=r.randrange(1, 9)), secrets.Made()
+        for p in own:
+            made.add(secrets.Made(p))
+        assert made.weight() == pytest.approx(weight("".join(own))), own
+
+
+def weight(value):
+    bad = re.search(r"example|changeme|placeholder|redacted|your[_-]|x{4,}|\*{3,}|\.{3,}|^(.)\1*$|^\$|^<|^%|^\{", value, re.I)
+    if len(value) < 8 or any(c.isspace() for c in value) or bad:
+        return 0.0
+    bits = -sum(c / len(value) * math.log2(c / len(value)) for c in Counter(value).values())
+    mixed = sum(any(f(c) for c in value) for f in (str.isdigit, str.islower, str.isupper)) + any(not c.isalnum() for c in value)
+    return min(1.0, len(value) / 16) * min(1.0, bits / 3.5) * (1.0 if mixed > 1 else 0.6)
