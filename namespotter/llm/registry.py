@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, licenses, lmscore, neighbours, packing, quality, repeats, secrets, sharding, simhash
+from . import decontaminate, licenses, lmscore, neighbours, packing, quality, recipes, repeats, secrets, sharding, simhash
 
 QUERIES = {
     "op1_lm_scoring": lmscore.op1_lm_scoring,
@@ -15,5 +15,6 @@ QUERIES = {
     "op8_simhash": simhash.op8_simhash,
     "op9_quality": quality.op9_quality,
     "op10_secrets": secrets.op10_secrets,
+    "op12_exact_dedup": recipes.op12_exact_dedup,
 }
-ORACLES = {"op5_decontamination": decontaminate.ORACLE}
+ORACLES = {"op5_decontamination": decontaminate.ORACLE, "op12_exact_dedup": recipes.ORACLE}
