@@ -96,3 +96,13 @@ def runs(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def table_bytes(df: DataFrame, col: str) -> int:
     """Total UTF-8 bytes of a column: the figure a broadcast is checked against."""
     return df.agg(F.coalesce(F.sum(F.octet_length(col)), F.lit(0)).alias("n")).first()["n"]
+
+
+def salted_join(rows: DataFrame, keyed: DataFrame, keys: list[str], salts: int) -> DataFrame:
+    """``rows`` joined with ``keyed`` (one row a key), a hot key being dealt to
+    up to ``salts`` tasks: its row of ``keyed`` is copied to the salts at which
+    the key occurs, other rows once.  Rows of unknown keys go."""
+    dealt = rows.withColumn("salt", F.pmod(F.xxhash64(*rows.columns), F.lit(salts)))
+    at = dealt.select(*keys, "salt").distinct().groupBy(*keys).agg(F.collect_list("salt").alias("at"))
+    spread = keyed.join(at, keys).withColumn("salt", F.explode("at")).drop("at")
+    return dealt.join(spread, [*keys, "salt"]).drop("salt")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, dialogues, licenses, lmscore, neighbours, packing, quality, recipes, repeats, secrets, sharding, simhash
+from . import collocations, decontaminate, dialogues, licenses, lmscore, neighbours, packing, quality, recipes, repeats, secrets, sharding, simhash
 
 QUERIES = {
     "op1_lm_scoring": lmscore.op1_lm_scoring,
@@ -15,8 +15,9 @@ QUERIES = {
     "op8_simhash": simhash.op8_simhash,
     "op9_quality": quality.op9_quality,
     "op10_secrets": secrets.op10_secrets,
+    "op11_collocations": collocations.op11_collocations,
     "op12_exact_dedup": recipes.op12_exact_dedup,
     "op13_conversation_repair": dialogues.op13_conversation_repair,
 }
 ORACLES = {"op5_decontamination": decontaminate.ORACLE, "op12_exact_dedup": recipes.ORACLE,
-           "op13_conversation_repair": dialogues.ORACLE}
+           "op13_conversation_repair": dialogues.ORACLE, "op11_collocations": collocations.ORACLE}
