@@ -35,9 +35,9 @@ from .common import salted_join, table
 
 LONGEST = 4
 #: Bytes of text laid out at once; a longer text is cut between pieces.
-LAYOUT_BYTES = 4 << 20
+LAYOUT_BYTES = 2 << 20
 #: Distinct fingerprints a task holds before it hands them on.
-HELD = 4_000_000
+HELD = 2_000_000
 FILTER_BITS = 1 << 28
 BITS_A_KEY = 16
 NO_LANGUAGE = "und"
@@ -171,13 +171,13 @@ def _rows(batch):
     return ((NO_LANGUAGE if lang is None else lang, t) for lang, t in zip(langs, texts, strict=True) if t)
 
 
-def _candidates(layout: Layout, n: int, below: np.ndarray | None) -> np.ndarray:
+def _candidates(layout: Layout, n: int, shorter: np.ndarray | None) -> np.ndarray:
+    """First words of the phrases of n words whose two phrases of n - 1 words are among ``shorter``."""
     at = layout.places(n)
-    if below is None:
+    if shorter is None:
         return at
-    shorter = layout.places(n - 1)
     known = np.zeros(len(layout.piece) + 1, bool)
-    known[shorter[holds(below, layout.prints(shorter, n - 1))]] = True
+    known[shorter] = True
     return at[known[at] & known[at + 1]]
 
 
@@ -200,7 +200,11 @@ def _fingerprints(docs: DataFrame, n: int, below, least: int, bits: int) -> Data
         for b in batches:
             for rows in layouts(_rows(b)):
                 layout = Layout(rows, bits)
-                u, c = np.unique(layout.prints(_candidates(layout, n, filter_bits), n), return_counts=True)
+                shorter = None
+                if filter_bits is not None:
+                    shorter = layout.places(n - 1)
+                    shorter = shorter[holds(filter_bits, layout.prints(shorter, n - 1))]
+                u, c = np.unique(layout.prints(_candidates(layout, n, shorter), n), return_counts=True)
                 prints.append(u)
                 counts.append(c)
                 size += len(u)
@@ -246,13 +250,14 @@ def _materialised(docs: DataFrame, filters: list, least: int, bits: int) -> Data
             for rows in layouts(_rows(b)):
                 layout = Layout(rows, bits)
                 ids = layout.word_ids()
+                at = None
                 for n, has in enumerate(known, 1):
-                    at = layout.places(n)
+                    at = _candidates(layout, n, at)
                     prints = layout.prints(at, n)
                     hit = holds(has, prints)
                     at, prints = at[hit], prints[hit]
                     if not len(at):
-                        continue
+                        break
                     _, first, inverse = np.unique(prints, return_index=True, return_inverse=True)
                     pointed = at[first]
                     there = pointed[inverse]
