@@ -9,17 +9,28 @@ from pyspark.sql import functions as F
 from ..functions.text import alnum_lower, split_ws, strip_punct
 from ..functions.windows import word_windows
 
-# Largest dictionary-side table (rows) we hand to a broadcast hash join.  The
-# bound is checked with a count before the hint is given; above it the join
-# stays a shuffle join that AQE may still convert or split for skew.
-BROADCAST_MAX_ROWS = 2_000_000
-
-
-def bounded_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """Broadcast ``df`` only if a count proves it small; otherwise return it
-    unchanged so the planner picks a shuffle join."""
-    n = df.count()
-    return F.broadcast(df) if n <= max_rows else df
+# Largest table (bytes in Spark's row format, estimated) we hand to a broadcast
+# hash join.  The bound is checked with an aggregate before the hint is given;
+# above it the join stays a shuffle join that AQE may still split for skew.
+BROADCAST_MAX_BYTES = 128 << 20
+
+
+def table_bytes(df: DataFrame) -> int:
+    """Estimated bytes of ``df``: eight per column and for the null bits, plus strings and arrays as they are."""
+    row = F.lit(8 * (len(df.columns) + 1))
+    for f in df.schema:
+        kind = f.dataType.simpleString()
+        if kind == "string":
+            row = row + F.coalesce(F.octet_length(f.name), F.lit(0))
+        elif kind.startswith("array"):
+            row = row + 32 * F.greatest(F.size(f.name), F.lit(0))
+    return df.agg(F.coalesce(F.sum(row.cast("long")), F.lit(0)).alias("n")).first()["n"]
+
+
+def bounded_broadcast(df: DataFrame, max_bytes: int = BROADCAST_MAX_BYTES) -> DataFrame:
+    """Broadcast ``df`` only if its measured size is small; otherwise return
+    it unchanged so the planner picks a shuffle join."""
+    return F.broadcast(df) if table_bytes(df) <= max_bytes else df
 
 
 def spread_work(df: DataFrame) -> DataFrame:

@@ -24,7 +24,7 @@ from ..operators.prompts import (DOC_BUDGET, PACK_BUDGET, PROMPT_TEMPLATE, TUPLE
 from ..operators.resolve import resolution_report, resolve_names, staged_resolution
 from ..operators.results import minmax_normalise
 from ..functions.text import alnum_lower, split_ws
-from ..functions.windows import char_ngrams, word_chunks
+from ..functions.windows import char_ngrams, word_chunks, word_spans
 from ..operators.spans import best_span_matches, first_containing_spans, ratio_context
 from ..operators.vector import tfidf_pairs
 from ..operators.vector import bigram_cosine_pairs, embedding_pairs, tfidf_matches_with_context
@@ -463,13 +463,34 @@ _CONTAIN = f"""WITH ents AS ({S.ents_all()}),
 d AS (SELECT doc_id, {S.words('text')} AS ws FROM documents),
 sp AS (SELECT doc_id, i, k, lower(array_to_string(list_slice(ws, i + 1, i + k), ' ')) AS phrase
        FROM d, unnest(range(0, len(ws))) t(i), unnest(range(1, 11)) u(k) WHERE i + k <= len(ws)),
-hit AS (SELECT sp.doc_id, e.entity_id, min(sp.i * 100 + sp.k) AS code
-        FROM sp, ents e WHERE lower(e.name) <> ''
-          AND (contains(sp.phrase, lower(e.name)) OR contains(lower(e.name), sp.phrase))
-        GROUP BY ALL)
+e AS (SELECT entity_id, lower(name) AS nn FROM ents WHERE name <> ''),
+sub AS (SELECT DISTINCT entity_id, substring(nn, i, k) AS phrase
+        FROM e, unnest(range(1, length(nn) + 1)) t(i), unnest(range(1, length(nn) + 1)) u(k) WHERE i + k <= length(nn) + 1),
+whole AS (SELECT doc_id, entity_id, nn FROM d, e WHERE contains(lower(array_to_string(ws, ' ')), nn)),
+hit AS (SELECT doc_id, entity_id, min(code) AS code FROM (
+          SELECT sp.doc_id, sub.entity_id, min(sp.i * 100 + sp.k) AS code FROM sp JOIN sub USING (phrase) GROUP BY ALL
+          UNION ALL
+          SELECT doc_id, entity_id, min(sp.i * 100 + sp.k) AS code FROM sp JOIN whole USING (doc_id)
+          WHERE contains(sp.phrase, whole.nn) GROUP BY ALL) GROUP BY ALL)
 SELECT doc_id, entity_id, (code // 100)::INTEGER AS start, (code % 100)::INTEGER AS n_words FROM hit"""
 
 
+_SPAN_LENGTHS = f"""WITH d AS (SELECT doc_id, {S.words('text')} AS ws FROM documents),
+sp AS (SELECT k, array_to_string(list_slice(ws, i + 1, i + k), ' ') AS phrase
+       FROM d, unnest(range(0, len(ws))) t(i), unnest(range(1, 11)) u(k) WHERE i + k <= len(ws))
+SELECT k::INTEGER AS n_words, count(*) AS spans, count(DISTINCT phrase) AS distinct_spans, sum(length(phrase))::BIGINT AS chars
+FROM sp GROUP BY k"""
+
+
+@register("span_lengths", _SPAN_LENGTHS)
+def q_span_lengths(spark: SparkSession, sf: str) -> DataFrame:
+    """Every span of 1 to 10 words of every document, counted by its number of words."""
+    w = with_words(documents(spark, sf), order="split_then_norm")
+    spans = w.select(F.explode(word_spans("words", 10)).alias("s")).select("s.n_words", "s.span")
+    return spans.groupBy("n_words").agg(F.count(F.lit(1)).alias("spans"), F.count_distinct("span").alias("distinct_spans"),
+                                        F.sum(F.length("span")).alias("chars"))
+
+
 @register("first_containing_spans", _CONTAIN)
 def q_first_containing_spans(spark: SparkSession, sf: str) -> DataFrame:
     """J10 phase A: per (document, name) the first 1-10-word span that

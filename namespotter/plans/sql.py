@@ -38,8 +38,8 @@ def alnum_lower(expr: str) -> str:
 
 
 def ents_all() -> str:
-    return (f"SELECT item_id AS entity_id, array_to_string(list_slice({words('text')}, 1, 3), ' ') AS name "
-            f"FROM benchmark")
+    return (f"SELECT item_id * 100000 + g AS entity_id, array_to_string(list_slice(ws, 3 * g + 1, 3 * g + 3), ' ') AS name "
+            f"FROM (SELECT item_id, {words('text')} AS ws FROM benchmark) b, unnest(range(0, (len(ws) + 2) // 3)) t(g)")
 
 
 def windows(words_expr: str, size: int = 3) -> str:

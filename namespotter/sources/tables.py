@@ -10,9 +10,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import split_ws
+from ..functions.windows import word_chunks
 from ..session import sf_path
 
 
+#: Entity numbers of a passage: more than a passage of 300,000 words has groups.
+GROUPS = 100_000
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(sf_path(sf_dir, name))
 
@@ -34,12 +39,12 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def entities_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Dictionary: ``entity_id`` = ``item_id``, ``name`` = first three
-    whitespace words of each ``benchmark`` passage."""
-    b = table(spark, sf_dir, "benchmark")
-    return b.select(
-        F.col("item_id").alias("entity_id"),
-        F.array_join(F.slice(split_ws("text"), 1, 3), " ").alias("name"))
+    """Dictionary: every group of three whitespace words of every
+    ``benchmark`` passage (the last group has what is left), numbered by
+    passage and group."""
+    b = table(spark, sf_dir, "benchmark").select("item_id", split_ws("text").alias("words"))
+    groups = b.select("item_id", F.posexplode(word_chunks("words", 3)).alias("g", "name"))
+    return groups.select((F.col("item_id") * GROUPS + F.col("g")).alias("entity_id"), "name")
 
 
 def responses(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,0 +1,144 @@
+"""Best-span join as a plan: segments, odd names, long names, containment alone, and pieces of the edit join."""
+
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from namespotter.functions.ratios import partial_ratio
+from namespotter.operators import spans
+from namespotter.operators.edit import name_pieces, piece_pairs
+from namespotter.operators.spans import best_span_matches, first_containing_spans
+from tests.test_joins import lev
+
+
+def brute(docs, names, max_span, least):
+    """Best and first containing span of every (document, name)."""
+    best, holding = {}, {}
+    for doc_id, t in docs:
+        words = (t or "").split()
+        for k, n in names:
+            n = (n or "").lower()
+            top, at = 0, None
+            for i in range(len(words)):
+                for j in range(i, min(i + max_span, len(words))):
+                    p = " ".join(words[i:j + 1]).lower()
+                    r = partial_ratio(n, p)
+                    if r > top:
+                        top, at = r, (i, j - i + 1)
+                    if n and (n in p or p in n) and (doc_id, k) not in holding:
+                        holding[doc_id, k] = (i, j - i + 1)
+            if top >= least:
+                best[doc_id, k] = (top, *at)
+    return best, holding
+
+
+@pytest.fixture(scope="module")
+def texts():
+    rng = random.Random(12)
+    syllables = ["an", "the", "tion", "er", "ou", "é", "st", "on"]
+    word = lambda: "".join(rng.choice(syllables) for _ in range(rng.randint(1, 3)))
+    docs = [(i, " ".join(word().title() if rng.random() < .2 else word() for _ in range(rng.randint(0, 40)))) for i in range(8)]
+    docs += [(100, None), (101, ""), (102, "    "), (103, "one"), (104, "x " * 15 + "anthe tioner ousts")]
+    names = [" ".join(word() for _ in range(rng.randint(1, 4))) for _ in range(12)]
+    names += ["anthe tioner oust", " an", "an ", " ", "the  on", "Zürich AG Bank", "q", "", None, "a b c d e f g h i j k l"]
+    names += ["onon " * 30, ("anthe" * 25)[:104], docs[3][1][5:120]]
+    return docs, list(enumerate(names))
+
+
+def frames(spark, docs, names):
+    d = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    return d, spark.createDataFrame(names, "entity_id long, name string")
+
+
+@pytest.mark.parametrize("segment,max_span,least", [(400, 10, 80), (7, 10, 80), (5, 3, 60)])
+def test_best_spans_over_segments(spark, texts, segment, max_span, least):
+    docs, names = texts
+    best, holding = brute(docs, names, max_span, least)
+    d, e = frames(spark, docs, names)
+    got = {(r.doc_id, r.entity_id): (r.score, r.start, r.n_words)
+           for r in best_span_matches(d, e, min_similarity=least, max_span=max_span, segment=segment).collect()}
+    assert got == best and any(s < 100 for s, *_ in best.values())
+    got = {(r.doc_id, r.entity_id): (r.start, r.n_words) for r in first_containing_spans(d, e, max_span).collect()}
+    assert got == holding
+
+
+def test_bounds_hold(texts):
+    """No span scores above its bound, unless the bound is under the floor."""
+    docs, names = texts
+    floor = 0.745
+    for _, t in docs[:4]:
+        words = (t or "").lower().split()
+        if not words:
+            continue
+        seg = spans._Segment(words, 6)
+        for _, n in names:
+            n = (n or "").lower()
+            if not n:
+                continue
+            bound = spans._bounds(seg, spans._Name(n), floor)
+            for i in range(len(words)):
+                for k in range(min(6, len(words) - i)):
+                    r = partial_ratio(n, " ".join(words[i:i + k + 1]))
+                    assert r <= 100 * max(bound[i, k], floor) + 0.5, (n, words[i:i + k + 1])
+
+
+def test_common_in_order():
+    rng = random.Random(2)
+    for _ in range(200):
+        a, b = ("".join(rng.choice("abcé ") for _ in range(rng.randint(1, 12))) for _ in range(2))
+        row = [0] * (len(b) + 1)
+        for x in a:
+            new = [0]
+            for j, y in enumerate(b):
+                new.append(row[j] + 1 if x == y else max(row[j + 1], new[j]))
+            row = new
+        assert spans._Name(a).common_in_order(b) == row[-1]
+
+
+def test_larger_dictionary_than_one_block(spark, texts, monkeypatch):
+    """Names dealt over blocks, and joins without a broadcast."""
+    from namespotter.operators import common, nested
+    docs, names = texts
+    best, _ = brute(docs, names, 10, 80)
+    monkeypatch.setattr(nested, "DICT_BLOCK_ROWS", 8)
+    monkeypatch.setattr(nested, "QUERY_BLOCK_ROWS", 6)
+    monkeypatch.setattr(common, "BROADCAST_MAX_BYTES", 0)
+    monkeypatch.setattr(common.bounded_broadcast, "__defaults__", (0,))
+    got = {(r.doc_id, r.entity_id): (r.score, r.start, r.n_words) for r in best_span_matches(*frames(spark, docs, names)).collect()}
+    assert got == best
+
+
+@pytest.mark.parametrize("threshold", [0.51, 0.6, 0.75, 0.8, 0.95, 1.0])
+def test_pieces_lose_no_pair(spark, threshold):
+    rng = random.Random(int(threshold * 100))
+    make = lambda: "".join(rng.choice("abc") for _ in range(rng.randint(0, 14)))
+    names = list({make() for _ in range(60)})
+    windows = [make() for _ in range(150)]
+    for n in names:  # and names with some edits
+        w = list(n)
+        for _ in range(rng.randint(0, 4)):
+            if w and rng.random() < .5:
+                w.pop(rng.randrange(len(w)))
+            else:
+                w.insert(rng.randint(0, len(w)), rng.choice("abcd"))
+        windows.append("".join(w))
+    want = set()
+    for w in set(windows):
+        for k, n in enumerate(names):
+            size = max(len(w), len(n))
+            if (1.0 if size == 0 else 1 - lev(w, n) / size) >= threshold:
+                want.add((w, k))
+    ents = spark.createDataFrame([(k, n, n) for k, n in enumerate(names)], "entity_id long, name string, nn string")
+    rows = piece_pairs(spark.createDataFrame([(w,) for w in windows * 2], "w string"), ents, threshold).collect()
+    assert len(rows) == len({(r.w, r.entity_id) for r in rows}) and {(r.w, r.entity_id) for r in rows} == want
+
+
+def test_windows_that_meet_no_name_are_not_shuffled(spark):
+    """The only exchange over windows comes after the score."""
+    ents = spark.createDataFrame([(1, "acmecorp", "acmecorp")], "entity_id long, name string, nn string")
+    win = spark.range(100).select(F.concat(F.lit("window"), F.col("id").cast("string")).alias("w"))
+    plan = piece_pairs(win, ents, 0.8)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(") - plan.split("BroadcastExchange", 1)[1].count("Exchange hashpartitioning(") == 1
+    assert plan.index("Exchange hashpartitioning(") < plan.index("BroadcastHashJoin [lw")
+    assert name_pieces(ents, 0.8).count() < 60
