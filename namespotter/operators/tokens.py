@@ -38,18 +38,22 @@ def token_set_matches(docs: DataFrame, entities: DataFrame, threshold: int = 70,
     def prepare(block: pd.DataFrame):
         names = block["name"].fillna("").tolist()
         tokens = [set(full_process(n).split()) for n in names]
-        joined = [" ".join(sorted(t)) for t in tokens]
-        return block.reset_index(drop=True), names, tokens, encode(joined)
+        having: dict[str, list[int]] = {}
+        for k, t in enumerate(tokens):
+            for x in t:
+                having.setdefault(x, []).append(k)
+        return block.reset_index(drop=True), names, having, encode([" ".join(sorted(t)) for t in tokens])
 
     def kernel(batch: pd.DataFrame, prepared) -> pd.DataFrame:
-        block, names, tokens, (nc, nl) = prepared
+        block, names, having, (nc, nl) = prepared
         wp = [full_process(w) for w in batch["word"].tolist()]
         wc, wl = encode(wp)
         b = multiset_overlap(wc, nc)
         with np.errstate(divide="ignore", invalid="ignore"):
             upper = 200.0 * b / (wl[:, None] + nl[None, :])
-        member = np.array([[p in t for t in tokens] for p in wp], dtype=bool).reshape(len(wp), len(tokens))
-        keep = (upper >= threshold - 0.5 - 1e-9) | member
+        keep = upper >= threshold - 0.5 - 1e-9
+        for q, p in enumerate(wp):
+            keep[q, having.get(p, [])] = True
         qi, ni = np.nonzero(keep)
         rows = []
         for q, e in zip(qi.tolist(), ni.tolist()):

@@ -21,7 +21,8 @@ from ..operators.results import score_stats, top_k
 from ..operators.tokens import candidate_words, token_set_matches
 from ..operators.prompts import (DOC_BUDGET, PACK_BUDGET, PROMPT_TEMPLATE, TUPLE_RE, pack_dictionary,
                                  pack_documents, parse_responses, prompt_requests)
-from ..operators.resolve import resolution_report, resolve_names, staged_resolution
+from ..operators.resolve import (BAG_ALPHABET, LEGAL_SUFFIXES, SOUNDEX_FROM, SOUNDEX_TO, bag_similarity, candidate_pairs,
+                                 code_similarity, resolution_report, resolve_names, staged_resolution)
 from ..operators.results import minmax_normalise
 from ..functions.text import alnum_lower, split_ws
 from ..functions.windows import char_ngrams, word_chunks, word_spans
@@ -423,6 +424,60 @@ def q_best_parsed_names(spark: SparkSession, sf: str) -> DataFrame:
 
 
 # ---------------------------------------------------------------- name resolution
+def _clean_sql(col: str) -> str:
+    return f"lower(trim(regexp_replace(regexp_replace({col}, '[^\\x20-\\x7E]', ' ', 'g'), '\\s+', ' ', 'g'), ' '))"
+
+
+def _code_sql(col: str) -> str:
+    digits = f"translate({col}, '{SOUNDEX_FROM}', '{SOUNDEX_TO}')"
+    for d in "0123456789":
+        digits = f"regexp_replace({digits}, '{d}+', '{d}', 'g')"
+    return f"CASE WHEN {col} <> '' THEN upper(left({col}, 1)) || {digits} ELSE '' END"
+
+
+def _feature_sql(rel: str, key: str, col: str) -> str:
+    bag = ", ".join(f"length({col}) - length(replace({col}, '{c}', ''))" for c in BAG_ALPHABET)
+    letters = f"regexp_replace({col}, '[^a-z]', '', 'g')"
+    return (f"SELECT {key}, {col}, [{bag}] AS bag, {_code_sql('letters')} AS code "
+            f"FROM (SELECT {key}, {col}, {letters} AS letters FROM {rel})")
+
+
+_NAME_SQL = (f"trim(regexp_replace(regexp_replace(regexp_replace({_clean_sql('name')}, '[^a-z0-9 ]', ' ', 'g'), "
+             f"'\\b({'|'.join(LEGAL_SUFFIXES)})\\b\\.?', ' ', 'g'), '\\s+', ' ', 'g'), ' ')")
+_RESOLUTION = f"""WITH e AS (SELECT entity_id, {_NAME_SQL} AS pn FROM ({S.ents_all()}) WHERE {_NAME_SQL} <> ''),
+d AS (SELECT doc_id, {_clean_sql('text')} AS pt FROM documents WHERE text IS NOT NULL),
+eg AS (SELECT entity_id, gram, sum(n) AS tf FROM ({S.gram_counts('e', 'entity_id', 'pn', 2)} UNION ALL
+       {S.gram_counts('e', 'entity_id', 'pn', 3)}) GROUP BY ALL),
+idf AS (SELECT gram, ln((1 + (SELECT count(*) FROM e)) / (1 + count(*))) + 1 AS idf FROM eg GROUP BY gram),
+dg AS (SELECT doc_id, gram, sum(n) AS tf FROM ({S.gram_counts('d', 'doc_id', 'pt', 2)} UNION ALL
+       {S.gram_counts('d', 'doc_id', 'pt', 3)}) GROUP BY ALL),
+ew AS (SELECT entity_id, gram, tf * idf AS w FROM eg JOIN idf USING (gram)),
+dw AS (SELECT doc_id, gram, tf * idf AS w FROM dg JOIN idf USING (gram)),
+en AS (SELECT entity_id, sqrt(sum(w * w)) AS norm FROM ew GROUP BY ALL),
+dn AS (SELECT doc_id, sqrt(sum(w * w)) AS norm FROM dw GROUP BY ALL),
+cs AS (SELECT doc_id, entity_id, round(sum((dw.w / dn.norm) * (ew.w / en.norm)), 9) AS cos
+       FROM dw JOIN dn USING (doc_id) JOIN ew USING (gram) JOIN en USING (entity_id) GROUP BY ALL),
+top AS (SELECT * FROM cs QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY cos DESC, entity_id) <= 50),
+df AS ({_feature_sql('d', 'doc_id', 'pt')}),
+ef AS ({_feature_sql('e', 'entity_id', 'pn')})
+SELECT doc_id, entity_id, round(cos, 6) AS cos,
+  round(1 - greatest(length(pt) - same, length(pn) - same) / greatest(length(pt), length(pn)), 6) AS bag,
+  round(CASE WHEN greatest(length(dcode), length(ecode)) = 0 THEN 1 ELSE
+    1 - levenshtein(dcode, ecode) / greatest(length(dcode), length(ecode)) END, 6) AS code
+FROM (SELECT top.*, df.pt, ef.pn, df.code AS dcode, ef.code AS ecode,
+        list_sum(list_transform(list_zip(df.bag, ef.bag), lambda x: least(x[1], x[2]))) AS same
+      FROM top JOIN df USING (doc_id) JOIN ef USING (entity_id))"""
+
+
+@register("resolution_candidates", _RESOLUTION)
+def q_resolution_candidates(spark: SparkSession, sf: str) -> DataFrame:
+    """J7 before its choice: the 50 names nearest to each document, with the
+    cosine and the bag and refined-soundex similarities."""
+    pairs = candidate_pairs(documents(spark, sf), entities_all(spark, sf))
+    return pairs.select("doc_id", "entity_id", r6("cos"), F.round(bag_similarity("pt", "pn"), 6).alias("bag"),
+                        F.round(code_similarity("pt", "pn"), 6).alias("code"))
+
+
 @register("name_resolution")
 def q_name_resolution(spark: SparkSession, sf: str) -> DataFrame:
     """The best dictionary entry for every document (top-50 n-gram
