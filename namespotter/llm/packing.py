@@ -42,15 +42,19 @@ def byte_alphabet() -> dict[str, int]:
 def file_encoding(path: str, pattern: str = public_tokenizers.PATTERN) -> tiktoken.Encoding:
     """The byte-level BPE of a tokenizer file, run by the faster of the two
     libraries that know it.  Ids are merge ranks in such a file, so both give
-    the same ids.  Strings that look like special tokens are ordinary text."""
+    the same ids.  A text is split at the file's added tokens first, which
+    stand for their own ids."""
     with open(path, encoding="utf-8") as f:
         held = json.load(f)
-    special = {t["content"] for t in held.get("added_tokens", ())}
+    added = held.get("added_tokens", ())
+    if any(t["single_word"] or t["lstrip"] or t["rstrip"] for t in added):
+        raise ValueError("added tokens must stand for exactly their own characters")
+    special = {t["content"]: t["id"] for t in added}
     to_byte = byte_alphabet()
     ranks = {bytes(to_byte[c] for c in token): i for token, i in held["model"]["vocab"].items() if token not in special}
-    if max(ranks.values()) >= ID_LIMIT:
+    if max([*ranks.values(), *special.values()]) >= ID_LIMIT:
         raise ValueError("ids are kept in 16 bits")
-    return tiktoken.Encoding("file", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding("file", pat_str=pattern, mergeable_ranks=ranks, special_tokens=special)
 
 
 def tokenized(docs: DataFrame, tokenizer: str, end_id: int = END_ID, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
@@ -60,7 +64,7 @@ def tokenized(docs: DataFrame, tokenizer: str, end_id: int = END_ID, text_col: s
 
         def compute(texts):
             nonlocal at
-            ids = [np.append(encoding.encode_to_numpy(t.decode(), disallowed_special=()), end_id).astype("<u2") for t in texts]
+            ids = [np.append(encoding.encode_to_numpy(t.decode(), allowed_special="all"), end_id).astype("<u2") for t in texts]
             sizes = np.array([len(x) for x in ids], np.int64)
             starts = at + np.cumsum(sizes) - sizes
             at += int(sizes.sum())

@@ -11,9 +11,7 @@ PATH = public_tokenizers.path("byte_bpe_50k.json")
 
 
 def plain(texts):
-    t = Tokenizer.from_file(PATH)
-    t.encode_special_tokens = True
-    return [e.ids for e in t.encode_batch(texts, add_special_tokens=False)]
+    return [e.ids for e in Tokenizer.from_file(PATH).encode_batch(texts, add_special_tokens=False)]
 
 
 def test_encoding_equals_the_file_in_its_own_library(texts):
@@ -22,11 +20,11 @@ def test_encoding_equals_the_file_in_its_own_library(texts):
            for _ in range(400)]
     odd += [t or "" for t in texts] + [" ", "  ", " a", "a ", "a  ", "\n a", "a\n \n b"]
     encoding = packing.file_encoding(PATH)
-    assert [encoding.encode_to_numpy(x, disallowed_special=()).tolist() for x in odd] == plain(odd)
+    assert [encoding.encode_to_numpy(x, allowed_special="all").tolist() for x in odd] == plain(odd)
 
 
 def test_pieces(spark, texts):
-    rows = [(i, t) for i, t in enumerate(texts)] + [(5, "the same id again"), (None, "no id")]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(5, "the same id again"), (None, "no id"), (6, "one <|endoftext|> two<|endoftext|>")]
     d = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'x' part", "'y' ids", "'z' length").repartition(5)
     got = packing.packed_pieces(d, PATH, length=64)
     assert got.columns.count("length") == 1 and {"part", "ids"} <= set(got.columns)
