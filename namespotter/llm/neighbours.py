@@ -10,6 +10,8 @@ factors prune more.  All queries of a block go down the tree together.
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -135,8 +137,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, factor: float =
 
 
 def hash_of(v) -> int:
-    """Tells apart queries that share an id."""
-    return int(np.asarray(v, np.float64).view(np.int64).sum())
+    """Tells apart queries that share an id: a digest of the components in their order."""
+    return int.from_bytes(hashlib.blake2b(np.asarray(v, np.float64).tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
 def op3_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -38,3 +38,14 @@ def test_unusable_rows(spark):
     got = [tuple(r) for r in neighbours.nearest(d, d.where("vec_id % 20 = 0")).orderBy("query_id", "rank").collect()]
     assert got == [(0, 1, 1, 2.0), (0, 2, 20, 2.0), (20, 1, 1, 5.0), (20, 2, 0, 2.0)]
     assert neighbours.nearest(d.limit(0), d.limit(0)).count() == 0
+
+
+def test_two_queries_of_one_id(spark):
+    """Permuted vectors under one id are two queries, each with its own list; a row repeated whole is one."""
+    rows = [(20, [1.0, 2.0]), (20, [2.0, 1.0]), (40, [0.5, 0.5]), (40, [0.5, 0.5]), (1, [1.0, 0.0]), (2, [0.0, 1.0])]
+    d = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = sorted(tuple(r) for r in neighbours.nearest(d, d.where("vec_id % 20 = 0"), k=2).collect())
+    of = lambda q, v: sorted(((-sum(a * b for a, b in zip(v, w, strict=True)), i) for i, w in rows if i != q))[:2]
+    want = [(q, r, i, -s) for q, v in (rows[0], rows[1], rows[2]) for r, (s, i) in enumerate(of(q, v), 1)]
+    assert got == sorted(want)
+    assert neighbours.hash_of([1, 2]) != neighbours.hash_of([2, 1])
