@@ -7,6 +7,7 @@ is compared with every name by token-set ratio; a word is a single token,
 so the score is 100 when it is one of the name's tokens and otherwise the
 ratio of the word against the name's sorted tokens, bounded by the
 character-multiset overlap (ratio <= 200 b / (la + lb)) before difflib runs.
+Neighbouring capitalised words (W10) may be candidates as well.
 """
 
 from __future__ import annotations
@@ -17,23 +18,40 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.ratios import full_process, token_set_ratio
-from ..functions.text import word_tokens
+from ..functions.text import WORD_RUN_RE, word_tokens
 from .kernels import encode, multiset_overlap
 from .nested import against_dictionary
 
 
-def candidate_words(docs: DataFrame, min_len: int = 5, text_col: str = "text") -> DataFrame:
-    """W9 + A6: ``word, occurrences`` over the whole corpus."""
-    return (docs.select(F.explode(word_tokens(text_col)).alias("word"))
-            .where(F.length("word") >= min_len)
-            .groupBy("word").agg(F.count(F.lit(1)).alias("occurrences")))
+CAPITAL_RE = r"^\p{Lu}"
+
+
+def capital_pairs(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """``word``, a row for every two neighbouring tokens that both begin
+    with a capital in the text as it stands, lowered and joined by a space."""
+    tokens = docs.select(F.regexp_extract_all(text_col, F.lit(WORD_RUN_RE), 1).alias("t")).where(F.size("t") > 1)
+    both = F.zip_with("t", F.slice("t", 2, F.size("t") - 1), lambda a, b: F.when(
+        a.rlike(CAPITAL_RE) & b.rlike(CAPITAL_RE), F.concat(F.lower(a), F.lit(" "), F.lower(b))))
+    return tokens.select(F.explode(F.filter(both, lambda x: x.isNotNull())).alias("word"))
+
+
+def candidate_words(docs: DataFrame, min_len: int = 5, text_col: str = "text", pairs: bool = False) -> DataFrame:
+    """W9 + A6: ``word, occurrences`` over the whole corpus, with ``pairs``
+    also of ``capital_pairs`` (off by default, as the capitals are gone once
+    a text is lowered, T6)."""
+    words = docs.select(F.explode(word_tokens(text_col)).alias("word")).where(F.length("word") >= min_len)
+    if pairs:
+        words = words.unionByName(capital_pairs(docs, text_col))
+    return words.groupBy("word").agg(F.count(F.lit(1)).alias("occurrences"))
 
 
 def token_set_matches(docs: DataFrame, entities: DataFrame, threshold: int = 70, min_len: int = 5,
-                      text_col: str = "text") -> DataFrame:
-    """(entity, candidate word) pairs with token-set ratio >= threshold
-    and the word's occurrence count."""
-    words = candidate_words(docs, min_len, text_col)
+                      text_col: str = "text", pairs: bool = False) -> DataFrame:
+    """(entity, candidate) pairs with token-set ratio >= threshold and the
+    candidate's occurrence count; candidates are words, with ``pairs`` also
+    neighbouring capitalised words.  A candidate that shares a token with the
+    name is scored whatever its characters."""
+    words = candidate_words(docs, min_len, text_col, pairs)
 
     def prepare(block: pd.DataFrame):
         names = block["name"].fillna("").tolist()
@@ -53,7 +71,8 @@ def token_set_matches(docs: DataFrame, entities: DataFrame, threshold: int = 70,
             upper = 200.0 * b / (wl[:, None] + nl[None, :])
         keep = upper >= threshold - 0.5 - 1e-9
         for q, p in enumerate(wp):
-            keep[q, having.get(p, [])] = True
+            for token in p.split():
+                keep[q, having.get(token, [])] = True
         qi, ni = np.nonzero(keep)
         rows = []
         for q, e in zip(qi.tolist(), ni.tolist()):

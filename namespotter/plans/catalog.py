@@ -322,6 +322,27 @@ def q_candidate_words(spark: SparkSession, sf: str) -> DataFrame:
     return candidate_words(documents(spark, sf))
 
 
+_CAPITALS = f"""SELECT word, count(*) AS occurrences FROM (
+  SELECT unnest(regexp_extract_all(lower(text), '{S.WORD_RUN}')) AS word FROM documents
+  UNION ALL
+  SELECT lower(p[1]) || ' ' || lower(p[2]) FROM (
+    SELECT unnest(list_zip(t[:-2], t[2:])) AS p FROM (SELECT regexp_extract_all(text, '{S.WORD_RUN}') AS t FROM documents))
+  WHERE regexp_matches(p[1], '^\\p{{Lu}}') AND regexp_matches(p[2], '^\\p{{Lu}}'))
+WHERE length(word) >= 5 OR contains(word, ' ') GROUP BY word"""
+
+
+@register("candidate_words_and_pairs", _CAPITALS)
+def q_candidate_words_and_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    """W9 + W10 + A6: words of 5+ characters and neighbouring capitalised words, with counts."""
+    return candidate_words(documents(spark, sf), pairs=True)
+
+
+@register("token_set_matches_with_pairs")
+def q_token_set_matches_with_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    """J4 over W9 and W10: words and capitalised pairs against every name."""
+    return token_set_matches(documents(spark, sf), entities_all(spark, sf), pairs=True)
+
+
 @register("corpus_audit",
           f"SELECT count(*) AS n_docs, count(*) FILTER (WHERE text IS NULL) AS null_text, "
           f"coalesce(sum(len({S.words('text')})), 0)::BIGINT AS n_words, "
