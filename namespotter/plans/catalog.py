@@ -470,8 +470,9 @@ d AS (SELECT doc_id, {_clean_sql('text')} AS pt FROM documents WHERE text IS NOT
 eg AS (SELECT entity_id, gram, sum(n) AS tf FROM ({S.gram_counts('e', 'entity_id', 'pn', 2)} UNION ALL
        {S.gram_counts('e', 'entity_id', 'pn', 3)}) GROUP BY ALL),
 idf AS (SELECT gram, ln((1 + (SELECT count(*) FROM e)) / (1 + count(*))) + 1 AS idf FROM eg GROUP BY gram),
-dg AS (SELECT doc_id, gram, sum(n) AS tf FROM ({S.gram_counts('d', 'doc_id', 'pt', 2)} UNION ALL
-       {S.gram_counts('d', 'doc_id', 'pt', 3)}) GROUP BY ALL),
+dg AS (SELECT doc_id, gram, count(*) AS tf FROM (SELECT doc_id, unnest(list_concat(
+         list_transform(range(1, length(pt)), lambda i: pt[i:i + 1]), list_transform(range(1, length(pt) - 1), lambda i: pt[i:i + 2]))) AS gram
+         FROM d) WHERE gram IN (SELECT gram FROM idf) GROUP BY ALL),
 ew AS (SELECT entity_id, gram, tf * idf AS w FROM eg JOIN idf USING (gram)),
 dw AS (SELECT doc_id, gram, tf * idf AS w FROM dg JOIN idf USING (gram)),
 en AS (SELECT entity_id, sqrt(sum(w * w)) AS norm FROM ew GROUP BY ALL),
