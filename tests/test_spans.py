@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from namespotter.functions.ratios import partial_ratio
 from namespotter.operators import spans
-from namespotter.operators.edit import name_pieces, piece_pairs
+from namespotter.operators.edit import blocked_pairs, name_pieces, piece_pairs
 from namespotter.operators.spans import best_span_matches, first_containing_spans
 from tests.test_joins import lev
 
@@ -142,3 +142,18 @@ def test_windows_that_meet_no_name_are_not_shuffled(spark):
     assert plan.count("Exchange hashpartitioning(") - plan.split("BroadcastExchange", 1)[1].count("Exchange hashpartitioning(") == 1
     assert plan.index("Exchange hashpartitioning(") < plan.index("BroadcastHashJoin [lw")
     assert name_pieces(ents, 0.8).count() < 60
+
+
+def test_windows_are_looked_up_at_disjoint_pieces(spark):
+    """A window of 17 characters may have 3 or 4 edits: it is cut into four pieces and into five, whatever the names."""
+    rng = random.Random(3)
+    make = lambda: "".join(rng.choice("abcdef") for _ in range(rng.randint(14, 21)))
+    ents = spark.createDataFrame([(k, n, n) for k, n in enumerate(make() for _ in range(50))], "entity_id long, name string, nn string")
+    assert name_pieces(ents, 0.8).where("lw = 17").select("p", "n").distinct().count() <= 4 + 5
+
+
+def test_grams_are_cut_only_for_pairs_that_pass(spark):
+    ents = spark.createDataFrame([(1, "acmecorp", "acmecorp")], "entity_id long, name string, nn string")
+    plan = blocked_pairs(spark.createDataFrame([("acmecorq",)], "w string"), ents, 0.8)._jdf.queryExecution().optimizedPlan().toString()
+    join = next(line for line in plan.splitlines() if "Join Inner" in line and "piece" in line)
+    assert "levenshtein" not in join and "regexp_extract_all" not in join and plan.count("levenshtein") == 1
