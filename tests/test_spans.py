@@ -6,9 +6,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from namespotter.functions.ratios import partial_ratio
+from namespotter.functions.text import split_ws
 from namespotter.operators import spans
 from namespotter.operators.edit import blocked_pairs, name_pieces, piece_pairs
-from namespotter.operators.spans import best_span_matches, first_containing_spans
+from namespotter.operators.spans import best_span_matches, first_containing_spans, span_lengths
 from tests.test_joins import lev
 
 
@@ -144,6 +145,23 @@ def test_windows_that_meet_no_name_are_not_shuffled(spark):
     assert name_pieces(ents, 0.8).count() < 60
 
 
+def test_span_lengths_equal_brute_force_and_send_a_start_word_once(spark):
+    rng = random.Random(5)
+    docs = [[rng.choice(["a", "b", "a\x00", "a\x01", "\x00", "bb", "é"]) for _ in range(rng.randint(0, 15))] for _ in range(60)]
+    frame = spark.createDataFrame([(" ".join(d),) for d in docs * 2] + [(None,)], "text string")
+    frame = frame.select(split_ws("text").alias("words"))
+    want = {}
+    for d in docs * 2:
+        for i in range(len(d)):
+            for k in range(1, min(10, len(d) - i) + 1):
+                want.setdefault(k, []).append(" ".join(d[i:i + k]))
+    out = span_lengths(frame)
+    assert {r.n_words: (r.spans, r.distinct_spans, r.chars) for r in out.collect()} == {
+        k: (len(v), len(set(v)), sum(map(len, v))) for k, v in want.items()}
+    assert span_lengths(frame.where("size(words) < 1")).collect() == []
+    assert "RepartitionByExpression [two" in out._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_windows_are_looked_up_at_disjoint_pieces(spark):
     """A window of 17 characters may have 3 or 4 edits: it is cut into four pieces and into five, whatever the names."""
     rng = random.Random(3)
