@@ -146,13 +146,14 @@ def _contexts(docs: DataFrame, text_col: str, length: int, shared) -> DataFrame:
     def run(batches):
         find, known = Anchors(length), shared.value
         for b in batches:
+            seen = set()
             for data, ends, _ in _joined(_texts(b)):
                 key, first, last = find(data, ends)
                 keep = np.flatnonzero(known.level(key, 1))
                 key, first, last = key[keep], first[keep], last[keep]
                 own = np.searchsorted(ends, first, side="right")
                 starts = np.concatenate(([0], ends))
-                raw, named, seen = data.tobytes(), {}, set()
+                raw, named = data.tobytes(), {}
                 text, content, context = [], [], []
                 for t, a, z in zip(own.tolist(), first.tolist(), last.tolist(), strict=True):
                     if t not in named:
@@ -277,10 +278,13 @@ def _counted_windows(hot: DataFrame, length: int) -> DataFrame:
 def _covered(size: int, starts: list[int], bits: list[bytes], length: int) -> np.ndarray:
     """Bytes of a text that a marked window covers."""
     change = np.zeros(size + 1, np.int64)
-    for s, b in zip(starts, bits, strict=True):
-        at = s + np.flatnonzero(np.unpackbits(np.frombuffer(b, np.uint8)))
-        change[at] += 1
-        np.add.at(change, at + length, -1)
+    # a run of windows covers one stretch; the bits of a place end in a zero, so runs of different places stay apart
+    rows = [np.frombuffer(b + b"\0", np.uint8) for b in bits]
+    first = np.cumsum([0, *(8 * len(r) for r in rows)])[:-1]
+    a, z = runs(np.unpackbits(np.concatenate(rows))) if rows else (first, first)
+    shift = (np.asarray(starts, np.int64) - first)[np.searchsorted(first, a, side="right") - 1] if len(a) else a
+    np.add.at(change, a + shift, 1)
+    np.add.at(change, z + shift + length - 1, -1)
     return np.cumsum(change)[:-1] > 0
 
 

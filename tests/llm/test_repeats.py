@@ -61,3 +61,38 @@ def test_runs_are_sampled_sparsely():
     base = bytes(random.Random(1).choices(range(97, 123), k=336))
     copies = [base[:i] + b"!" + base[i + 1:] for i in range(0, 336, 12)]
     assert all(len(m) == 137 for m in repeats.matches(copies))
+
+
+def test_covered_bytes_equal_brute_force():
+    r = random.Random(8)
+    for length in (3, 7):
+        size, starts, bits, want = 90, [], [], np.zeros(90, bool)
+        for _ in range(r.randint(0, 9)):
+            n = r.randint(1, 20)
+            s, own = r.randint(0, size - n - length + 1), [r.random() < 0.5 for _ in range(n)]
+            starts.append(s)
+            bits.append(np.packbits(own).tobytes())
+            for i in np.flatnonzero(own):
+                want[s + i:s + i + length] = True
+        assert (repeats._covered(size, starts, bits, length) == want).all()
+    assert not repeats._covered(5, [], [], 3).any()
+
+
+def test_a_context_is_written_once_in_a_batch_and_densely(spark, monkeypatch):
+    monkeypatch.setattr(repeats, "CHUNK", 2_000)
+    r = random.Random(4)
+    text = "".join(r.choice("abcdefgh ") for _ in range(900))
+    d = spark.createDataFrame([(text,)] * 30, "text string").coalesce(1)
+    shared = spark.sparkContext.broadcast(repeats._repeated_anchors(d, "text", 200, 4, repeats.FILTER_BYTES))
+    found = repeats._contexts(d, "text", 200, shared).collect()
+    kinds = {bytes(x["context"]) for x in found}
+    assert len(found) == 30 * len(kinds) and sum(x["content"] is not None for x in found) == len(kinds)
+
+
+def test_written_tables_are_dense(spark):
+    import pyarrow.parquet as pq
+
+    from namespotter.session import written
+    made = written(spark.range(50).coalesce(1), "dense")
+    codecs = {pq.ParquetFile(f.removeprefix("file://")).metadata.row_group(0).column(0).compression for f in made.inputFiles()}
+    assert codecs == {"ZSTD"} and made.count() == 50
