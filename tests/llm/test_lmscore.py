@@ -91,3 +91,28 @@ def test_a_small_filter_loses_no_n_gram(spark, monkeypatch):
     got = {r["doc_id"]: r["score"] for r in lmscore.lm_scores(d, d, open_bytes=4_000, bucket_bytes=4_000).collect()}
     assert got == want
     assert {r["doc_id"]: r["score"] for r in lmscore.lm_scores(d, d, open_bytes=0, bucket_bytes=4_000).collect()} == want
+
+
+def test_text_is_hashed_in_small_parts_and_an_n_gram_probed_once(spark, monkeypatch):
+    """Memory of a task goes with HASHED, probes with distinct n-grams; the scores are those of one text at a time."""
+    rows = list(enumerate(corpus([]) * 3))
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    model, _ = lmscore.fit(d, bucket_bytes=20_000)
+    texts, sizes = [t.encode() for _, t in rows], []
+    monkeypatch.setattr(lmscore, "HASHED", 5_000)
+
+    class Spy(lmscore.Tokens):
+        def __call__(self, part):
+            sizes.append(sum(map(len, part)))
+            return super().__call__(part)
+
+    (w, lengths), = lmscore.rounds(texts, Spy(), lmscore.CHUNK)
+    assert len(sizes) > 10 and max(sizes) <= 5_000
+    asked = []
+    plain = lmscore.Filter.level_once
+    monkeypatch.setattr(lmscore.Filter, "level_once", lambda self, keys, *a: (asked.append(keys), plain(self, keys, *a))[1])
+    got = np.add.reduceat(model.log10(w, lmscore.positions(lengths), model.head(w)), np.cumsum(lengths) - lengths)
+    assert asked and all(len(np.unique(k)) == len(k) for k in asked)
+    for i in range(0, len(texts), 37):
+        one, size = lmscore.Tokens()([texts[i]])
+        assert abs(model.log10(one, lmscore.positions(size), model.head(one)).sum() - got[i]) < 1e-9
