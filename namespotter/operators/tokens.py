@@ -6,7 +6,8 @@ counts; the counting is a partial + final aggregation.  Each distinct word
 is compared with every name by token-set ratio; a word is a single token,
 so the score is 100 when it is one of the name's tokens and otherwise the
 ratio of the word against the name's sorted tokens, bounded by the
-character-multiset overlap (ratio <= 200 b / (la + lb)) before difflib runs.
+character-multiset overlap (ratio <= 200 b / (la + lb)) and by the characters
+common in order before difflib runs.
 Neighbouring capitalised words (W10) may be candidates as well.
 """
 
@@ -17,13 +18,15 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.ratios import full_process, token_set_ratio
+from ..functions.ratios import full_process, ratio, token_set_ratio
 from ..functions.text import WORD_RUN_RE, word_tokens
-from .kernels import encode, multiset_overlap
+from .kernels import common_in_order, encode, multiset_overlap, numbered, place_masks
 from .nested import against_dictionary
 
 
 CAPITAL_RE = r"^\p{Lu}"
+#: Characters of a bit mask.
+MASK = 64
 
 
 def capital_pairs(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -60,27 +63,47 @@ def token_set_matches(docs: DataFrame, entities: DataFrame, threshold: int = 70,
         for k, t in enumerate(tokens):
             for x in t:
                 having.setdefault(x, []).append(k)
-        return block.reset_index(drop=True), names, having, encode([" ".join(sorted(t)) for t in tokens])
+        texts = [" ".join(sorted(t)) for t in tokens]
+        codes, sizes = encode(texts)
+        alphabet = np.unique(codes[codes >= 0])
+        masks = np.concatenate([place_masks(codes[:, :MASK], alphabet), np.zeros((len(texts), 1), np.uint64)], axis=1)
+        return block.reset_index(drop=True), names, texts, having, (codes, sizes), (alphabet, masks), np.argsort(sizes, kind="stable")
 
     def kernel(batch: pd.DataFrame, prepared) -> pd.DataFrame:
-        block, names, having, (nc, nl) = prepared
-        wp = [full_process(w) for w in batch["word"].tolist()]
+        block, names, texts, having, (nc, nl), (alphabet, masks), by_size = prepared
+        words = batch["word"].tolist()
+        wp = [full_process(w) for w in words]
         wc, wl = encode(wp)
-        b = multiset_overlap(wc, nc)
-        with np.errstate(divide="ignore", invalid="ignore"):
-            upper = 200.0 * b / (wl[:, None] + nl[None, :])
-        keep = upper >= threshold - 0.5 - 1e-9
-        for q, p in enumerate(wp):
-            for token in p.split():
-                keep[q, having.get(token, [])] = True
-        qi, ni = np.nonzero(keep)
-        rows = []
-        for q, e in zip(qi.tolist(), ni.tolist()):
-            s = token_set_ratio(batch["word"].iat[q], names[e])
+        least = threshold - 0.5 - 1e-9
+        shared = {(q, e) for q, p in enumerate(wp) for token in set(p.split()) for e in having.get(token, [])}
+        qi, ni = [], []
+        order = np.argsort(wl, kind="stable")
+        for lo in range(0, len(order), 256):  # words of like length meet the names whose length allows the ratio
+            rows = order[lo:lo + 256]
+            low, high = int(wl[rows[0]]), int(wl[rows[-1]])
+            other = by_size[(least * (low + nl[by_size]) <= 200.0 * nl[by_size]) & (least * (high + nl[by_size]) <= 200.0 * high)] if least > 0 else by_size
+            if not len(other):
+                continue
+            b = multiset_overlap(wc[rows, :max(high, 1)], nc[other])
+            with np.errstate(divide="ignore", invalid="ignore"):
+                x, y = np.nonzero(200.0 * b / (wl[rows][:, None] + nl[other][None, :]) >= least)
+            qi.append(rows[x])
+            ni.append(other[y])
+        qi, ni = (np.concatenate([*x, np.zeros(0, np.int64)]).astype(np.int64) for x in (qi, ni))
+        # without a common token the ratio is that of the sorted tokens; their characters common in order bound it
+        sorted_words = [" ".join(sorted(set(p.split()))) for p in wp]
+        sc, sl = encode(sorted_words)
+        numbers = numbered(sc, alphabet)
+        keep = np.ones(len(qi), bool)
+        for lo in range(0, len(qi), 16_384):
+            x, y = qi[lo:lo + 16_384], ni[lo:lo + 16_384]
+            keep[lo:lo + 16_384] = (nl[y] > MASK) | (200.0 * common_in_order(numbers[x], masks, y) >= least * (sl[x] + nl[y]))
+        found = []
+        for q, e in {*zip(qi[keep].tolist(), ni[keep].tolist()), *shared}:
+            s = token_set_ratio(words[q], names[e]) if (q, e) in shared else ratio(sorted_words[q], texts[e]) if wp[q] and texts[e] else 0
             if s >= threshold:
-                rows.append((block["entity_id"].iat[e], names[e], batch["word"].iat[q], s,
-                             batch["occurrences"].iat[q]))
-        return pd.DataFrame(rows, columns=["entity_id", "name", "word", "score", "occurrences"])
+                found.append((block["entity_id"].iat[e], names[e], words[q], s, batch["occurrences"].iat[q]))
+        return pd.DataFrame(found, columns=["entity_id", "name", "word", "score", "occurrences"])
 
     return against_dictionary(words, entities.select("entity_id", "name"), kernel, prepare,
                               "entity_id long, name string, word string, score int, occurrences long")
