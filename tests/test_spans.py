@@ -175,3 +175,13 @@ def test_grams_are_cut_only_for_pairs_that_pass(spark):
     plan = blocked_pairs(spark.createDataFrame([("acmecorq",)], "w string"), ents, 0.8)._jdf.queryExecution().optimizedPlan().toString()
     join = next(line for line in plan.splitlines() if "Join Inner" in line and "piece" in line)
     assert "levenshtein" not in join and "regexp_extract_all" not in join and plan.count("levenshtein") == 1
+
+
+def test_no_pair_is_shuffled_for_containment(spark):
+    docs = spark.createDataFrame([(1, "a cat sat"), (1, "on the mat"), (2, None), (None, "a cat")], "doc_id long, text string")
+    names = spark.createDataFrame([(1, "the cat sat"), (2, "at"), (3, ""), (4, "On the")], "entity_id long, name string")
+    out = first_containing_spans(docs, names, 3)
+    plan = out._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("simple"))
+    dealt = [line for line in plan.splitlines() if "Exchange hashpartitioning(doc_id" in line]
+    assert dealt and all("REPARTITION_BY_NUM" in line for line in dealt)  # the texts, and nothing else by document
+    assert {tuple(r) for r in out.collect()} == {(1, 1, 0, 1), (1, 2, 0, 1), (1, 4, 0, 1), (None, 1, 0, 1), (None, 2, 0, 1)}
