@@ -1,6 +1,7 @@
 """File readers on temp files: multi-line fields, doubled quotes, extra
 fields, unclosed quotes, header cleanup and the column resolver."""
 import pytest
+from pyspark.sql import functions as F
 
 from namespotter.sources.files import (clean_header, load_dictionary_csv, load_dictionary_lines,
                                        load_documents_csv, load_text_files, require_rows, resolve_text_column)
@@ -52,3 +53,18 @@ def test_whole_text_and_empty(spark, tmp_path):
     assert len(t) == 1 and t[0].text == "one two\nthree"
     with pytest.raises(ValueError):
         require_rows(spark.createDataFrame([], "text string"))
+
+
+def test_a_single_row_group_of_many_splits_is_spread(spark, tmp_path):
+    from namespotter.sources.tables import documents
+    rows = spark.range(4000).selectExpr("id AS doc_id", "sha2(cast(id AS string), 256) AS text").coalesce(1)
+    rows.write.parquet(f"{tmp_path}/documents.parquet")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2000")
+    try:
+        cores = spark.sparkContext.defaultParallelism
+        assert spark.read.parquet(f"{tmp_path}/documents.parquet").rdd.getNumPartitions() >= cores
+        sizes = documents(spark, str(tmp_path)).groupBy(F.spark_partition_id()).count().collect()
+        assert 2 * len(sizes) >= cores and sum(r["count"] for r in sizes) == 4000
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
