@@ -112,3 +112,24 @@ def test_thresholds_are_quantiles_of_all_unseen_trusted_rows(spark):
     for i, (c, q) in enumerate(quality.JUDGED.items()):
         own = sorted(r[c] for r in rows)
         assert model.thresholds["en"][i] == model.thresholds[None][i] == own[math.ceil(q * len(own)) - 1]
+
+
+def test_every_labelled_row_serves(spark):
+    """Half of the labelled rows fit the models however many there are; the others set the thresholds."""
+    docs = spark.createDataFrame([(i, f"v{i % 7} v{i % 5}", "en") for i in range(4000)], "doc_id long, text string, lang string")
+    labels = docs.selectExpr("doc_id", "1 AS quality", "0 AS toxic")
+    taken = quality._sample(docs, labels, "doc_id", "lang", quality.SAMPLE).count()
+    assert 1900 < taken < 2100
+
+
+def test_scores_by_joins_are_those_by_broadcasts(spark, texts, monkeypatch):
+    monkeypatch.setattr(quality, "CHUNK_BYTES", 2000)
+    monkeypatch.setattr(quality, "SHARD_KEYS", 300)
+    rows = [(i, t, "en", {"k": i}) for i, t in enumerate([*texts, *corpus(200), *corpus(5)])] + [(None, None, None, None), (None, "", None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, m map<string, int>")
+    labels = spark.createDataFrame([(i, 1, int(i % 9 == 0)) for i in range(0, 150)], "doc_id long, quality int, toxic int")
+    for keep in (["doc_id", "m"], ["text", "m", "doc_id"]):
+        whole, dealt = (quality.fit(docs, labels, keep=[*keep, "lang"], most=n) for n in (quality.BROADCAST_KEYS, 0))
+        assert whole.shards is not None and dealt.shards is None and whole.thresholds == dealt.thresholds
+        assert whole.scored.schema == dealt.scored.schema
+        assert sorted(map(repr, whole.scored.collect())) == sorted(map(repr, dealt.scored.collect()))
